@@ -33,15 +33,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     work = Workspace(edges.sparkSession, "components")
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     pairs = work.table("input", pairs.distinct())
-    stars, before = pairs.where("u <> v"), None
+    stars, seen, turn = pairs.where("u <> v"), None, 0
     while True:
-        stars = work.table(f"round{0 if before is None else before[0]}", _small_star(_large_star(stars)))
-        state = stars.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before is not None and before[1] == tuple(state):
+        stars = work.table(f"round{turn}", _small_star(_large_star(stars)))
+        state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        work.drop(f"round{turn - 1}")
+        if state == seen:
             break
-        if before is not None and before[0]:
-            work.drop(f"round{before[0] - 1}")
-        before = ((0 if before is None else before[0]) + 1, tuple(state))
+        seen, turn = state, turn + 1
     roots = stars.select(F.col("v").alias("u")).unionByName(pairs.where("u = v").select("u")).distinct()
     own = roots.join(stars, "u", "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
