@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.llm import exact, mixing, simhash
+from narrata.llm import exact, mixing, quality, simhash
 from narrata.llm.tables import table
 
 
@@ -16,11 +16,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op7_exact": op7_exact}
+QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_quality": op6_quality, "op7_exact": op7_exact}
 
 ORACLES = {
     "op7_exact": r"""
