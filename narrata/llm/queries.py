@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.llm import exact, mixing, quality, simhash
+from narrata.llm import decontaminate, exact, mixing, quality, simhash
 from narrata.llm.tables import table
 
 
@@ -24,9 +24,26 @@ def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_quality": op6_quality, "op7_exact": op7_exact}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hit_counts(decontaminate.match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_quality": op6_quality, "op7_exact": op7_exact, "op8_decontaminate": op8_decontaminate}
 
 ORACLES = {
+    "op8_decontaminate": r"""
+        with dw as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        bw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        win as (select distinct item_id, least(10, len(w)) as k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as g
+                from bw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as t(i) where len(w) > 0),
+        sizes as (select distinct k from win),
+        dg as (select rid, i, k, array_to_string(w[i:i + k - 1], ' ') as g from dw, sizes, unnest(range(1, len(w) - k + 2)) as t(i) where len(w) >= k),
+        hit as (select rid, i, k, item_id from dg join win using (k, g)),
+        pos as (select rid, count(distinct p) as n from hit, unnest(range(i, i + k)) as t(p) group by rid),
+        its as (select rid, count(distinct item_id) as n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as s from hit group by rid)
+        select doc_id, len(w)::bigint as n_words, coalesce(pos.n, 0)::bigint as n_hit, coalesce(its.n, 0)::bigint as n_items,
+               sha256(coalesce(its.s, '')) as items_sha256, coalesce(pos.n, 0) > 0 as contaminated
+        from dw left join pos using (rid) left join its using (rid)""",
     "op7_exact": r"""
         with d as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as b from documents),
         r as (select doc_id, length(t)::int as length, sha256(b) as text_sha256,
