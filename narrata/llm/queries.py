@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.llm import decontaminate, exact, mixing, quality, simhash
+from narrata.llm import decontaminate, exact, mixing, quality, simhash, warc
 from narrata.llm.tables import table
 
 
@@ -16,6 +16,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_rows(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,9 +32,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_counts(decontaminate.match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_quality": op6_quality, "op7_exact": op7_exact, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_exact": op7_exact, "op8_decontaminate": op8_decontaminate}
 
 ORACLES = {
+    "op5_warc": r"""
+        with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+        d as (select page_id, octet_length(b)::bigint as payload_bytes, sha1(b) as h, min(page_id) over (partition by b) as first from p),
+        bits as (select *, [('0x' || substr(h || '', 10 * g + 1, 10))::bigint for g in range(0, 4)] as five from d)
+        select page_id, payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31)::int + 1, 1) for i in range(0, 32)], '') as payload_digest,
+               case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+        from bits""",
     "op8_decontaminate": r"""
         with dw as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
         bw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
