@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from narrata.llm import decontaminate, exact, mixing, quality, simhash, warc
+from narrata.llm import decontaminate, exact, lines, mixing, pii, quality, simhash, urls, warc
 from narrata.llm.tables import table
 
 
@@ -12,6 +13,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_pii", "text")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
@@ -32,9 +37,37 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_counts(decontaminate.match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_exact": op7_exact, "op8_decontaminate": op8_decontaminate}
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_exact": op7_exact, "op8_decontaminate": op8_decontaminate, "op9_lines": op9_lines, "op10_urls": op10_urls}
 
 ORACLES = {
+    "op9_lines": r"""
+        with d as (select doc_id, text, case when text is null then [] else string_split(text, chr(10)) end as l from documents),
+        w as (select doc_id, i, array_to_string(l[i:i + 2], chr(10)) as g from d, unnest(range(1, len(l) - 1)) as t(i) where len(l) >= 3),
+        f as (select doc_id, i, row_number() over (partition by g order by doc_id, i) as r from w),
+        gone as (select distinct doc_id, unnest(range(i, i + 3)) as p from f where r > 1),
+        n as (select doc_id, count(*) as n_removed, list(p) as ps from gone group by doc_id)
+        select doc_id, len(l)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed,
+               sha256(coalesce(case when n_removed is null then text else array_to_string([l[k] for k in range(1, len(l) + 1) if not list_contains(ps, k)], chr(10)) end, '')) as kept_sha256
+        from d left join n using (doc_id)""",
+    "op10_urls": r"""
+        with u as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+        h as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from u),
+        r as (select *, case when ('.' || host) like '%.example.com' and starts_with(path, '/de/') then 'example.com/de/'
+                             when ('.' || host) like '%.example.net' and starts_with(path, '/en/') then 'example.net/en/'
+                             when ('.' || host) like '%.org' and starts_with(path, '/fr/') then 'org/fr/'
+                             when ('.' || host) like '%.net' and starts_with(path, '/') then 'net/' end as rule from h)
+        select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+               when regexp_matches(path, '/(ads|cart|login|tracking|wp-admin)/') then 'block' else 'allow' end as verdict from r""",
     "op5_warc": r"""
         with p as (select page_id, encode(coalesce(html, '')) as b from pages),
         d as (select page_id, octet_length(b)::bigint as payload_bytes, sha1(b) as h, min(page_id) over (partition by b) as first from p),
