@@ -23,10 +23,11 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in (PATTERNS["email"], PATTERNS["secret"], PATTERNS["key"], PATTERNS["ip"], PATTERNS["ssn"], PATTERNS["date"].replace(r"\2", r"\2"), PATTERNS["card"], PATTERNS["phone"]))
+#: Only dates have groups, so their numbers hold in the whole, too.
+ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 LETTERS, AS_RADIX_26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 #: 200 years of days, 1900 to 2099, as 319 times 229.
 FIRST_DAY, DAYS = "1900-01-01", (319, 229)
@@ -149,8 +150,8 @@ def date(m: Column, key: str) -> Column:
         y, mo, d = F.year(new).cast("string"), two(F.month(new)), two(F.day(new))
         return F.when(kind == "ymd", F.concat_ws("-", y, mo, d)).when(kind == "dmy", F.concat_ws("-", d, mo, y)).otherwise(F.concat_ws("-", mo, d, y))
 
-    new = F.translate(F.transform(F.array(pair), written)[0], "-", "\x00")
-    return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), F.replace(new, F.lit("\x00"), sep)).otherwise(m)
+    new = F.translate(F.transform(F.array(pair), written)[0], "-", "~")
+    return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), F.replace(new, F.lit("~"), sep)).otherwise(m)
 
 
 def email(m: Column, key: str) -> Column:
@@ -158,7 +159,6 @@ def email(m: Column, key: str) -> Column:
     local, domain = F.substring_index(m, "@", 1), F.concat(F.lit("@"), F.substring_index(m, "@", -1))
     low = F.lower(local)
     letters, digits = F.regexp_replace(low, "[^a-z]", ""), _digits(low)
-    # the digits are bound to the letters, so equal digits of different people differ
     new = F.translate(permute_text(F.translate(letters, LETTERS, AS_RADIX_26), 26, key, "email"), AS_RADIX_26, LETTERS)
     moved = F.when(F.length(digits) > 0, permute_text(digits, 10, key, "email-digits")).otherwise("")
     spelled = F.when(F.length(letters) > 0, fill(low, "[a-z]", new)).otherwise(low)
@@ -196,10 +196,10 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "narrata")
     """
     text = F.col(f"`{text_col}`")
     hit = F.coalesce(text.rlike("[0-9@]|[=:]") & text.rlike(ANY), F.lit(False))
-    found = F.when(hit, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("__found", found)
     out = out.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key))).otherwise(F.array().cast("array<string>")))
-    joined = F.array_join(F.zip_with(F.split(text, ANY), F.concat("__new", F.array(F.lit(""))), F.concat), "")
+    joined = F.array_join(F.zip_with(F.split(text, ANY), F.concat("__new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     n = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x)).cast("long")
     return out.withColumn("__text", F.when(F.size("__found") > 0, joined).otherwise(text)).select(
         *(F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), n.alias("n_pii")
