@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import decontaminate, exact, lines, mixing, pii, quality, simhash, urls, warc
+from narrata.llm import decontaminate, exact, lines, mixing, pii, quality, simhash, substrings, urls, warc
 from narrata.llm.tables import table
 
 
@@ -21,6 +21,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_rows(warc.round_trip(table(spark, sf_dir, "pages")))
 
@@ -46,9 +51,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_exact": op7_exact, "op8_decontaminate": op8_decontaminate, "op9_lines": op9_lines, "op10_urls": op10_urls}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_exact": op7_exact, "op8_decontaminate": op8_decontaminate, "op9_lines": op9_lines, "op10_urls": op10_urls}
 
 ORACLES = {
+    "op4_substrings": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from d, unnest(range(1, len(w) - 11)) as t(i) where len(w) >= 13),
+        f as (select g, min(doc_id) as first from win group by g having min(doc_id) < max(doc_id)),
+        gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from win join f using (g) where doc_id > first),
+        n as (select doc_id, count(*) as n, list(p) as ps from gone group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+               sha256(array_to_string(case when n is null then w else [w[k] for k in range(1, len(w) + 1) if not list_contains(ps, k)] end, ' ')) as kept_sha256
+        from d left join n using (doc_id)""",
     "op9_lines": r"""
         with d as (select doc_id, text, case when text is null then [] else string_split(text, chr(10)) end as l from documents),
         w as (select doc_id, i, array_to_string(l[i:i + 2], chr(10)) as g from d, unnest(range(1, len(l) - 1)) as t(i) where len(l) >= 3),
