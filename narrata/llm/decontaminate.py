@@ -233,15 +233,19 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def remove_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, most_covered: float = 0.5, max_words: int = 20_000_000) -> DataFrame:
+def remove_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, most_covered: float = 0.5, max_words: int = 20_000_000, length_col: str | None = None) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut out of the texts, all columns stay.
 
-    A document of which more than ``most_covered`` of the words are hit goes as a whole.
+    A document of which more than ``most_covered`` of the words are hit goes as a whole. Null and empty texts stay
+    as they are. length_col: a column with the number of code points, set anew where a text was cut.
     """
     work, out = Workspace(docs.sparkSession, "decontaminate"), docs
     for k, (automaton, last) in enumerate(_automata(benchmark, item_col, item_text_col, window, max_words)):
         cleaned = _cleaner(docs.sparkSession.sparkContext.broadcast(automaton))
-        out = out.withColumn("__m", cleaned(F.col(text_col))).where(F.col("__m.covered") <= most_covered).withColumn(text_col, F.col("__m.text")).drop("__m")
+        out = out.withColumn("__m", cleaned(F.col(text_col))).where(F.col("__m.covered") <= most_covered)
+        cut_short = ~F.col("__m.text").eqNullSafe(F.col(text_col))
+        new = {text_col: F.col("__m.text")} | ({length_col: F.when(cut_short, F.char_length("__m.text").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))} if length_col else {})
+        out = out.withColumns(new).drop("__m")
         if not last:
             out = work.table(f"after-{k % 2}", out)
     return out
