@@ -32,17 +32,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Shuffle files of the statements inside go as soon as each ends; the session's setting comes back after."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def session_settings(spark: SparkSession, values: dict[str, str]):
+    """The statements inside run under ``values``; the session's own settings come back after."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files of the statements inside go as soon as each ends."""
+    return session_settings(spark, {SHUFFLE_CLEANUP: "true"})
 
 
 class Workspace:
