@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.llm.tables import SPACE
-from narrata.plans.storage import Workspace, freed_shuffles, fresh_path
+from narrata.plans.storage import Workspace, fresh_path, session_settings
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on the executors' disks; many small stores must not each reserve space ahead.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -32,7 +35,6 @@ def _digest(text: Column, digest_chars: int) -> Column:
 def _registry(arrivals: DataFrame, path: str, files_per_batch: int | None) -> DataFrame:
     """(digest, n, keeper) over the stream of the files below ``path``; each batch adds the groups it changed."""
     spark = arrivals.sparkSession
-    before = spark.conf.get(PROVIDER, None)
     out = fresh_path(spark, "exact-registry")
     stream = spark.readStream.schema(arrivals.schema)
     if files_per_batch:
@@ -43,12 +45,9 @@ def _registry(arrivals: DataFrame, path: str, files_per_batch: int | None) -> Da
     def keep(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")  # a batch that runs again replaces its own
 
-    try:
-        spark.conf.set(PROVIDER, ROCKSDB)
+    with session_settings(spark, STATE):
         query = state.writeStream.outputMode("update").option("checkpointLocation", fresh_path(spark, "exact-state")).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
     changed = spark.read.schema(state.schema).parquet(f"{out}/*") if query.lastProgress else spark.createDataFrame([], state.schema)
     if not files_per_batch:
         return changed  # one batch: each group once
@@ -75,8 +74,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     registry = _registry(arrivals, work.paths["arrivals"], files_per_batch)
 
     pairs = docs.select(key.alias("digest"), normalised(text).alias("body")).distinct()
-    with freed_shuffles(docs.sparkSession):
-        mixed = work.table("mixed", pairs.groupBy("digest").count().where("count > 1").select("digest"))
+    mixed = work.table("mixed", pairs.groupBy("digest").count().where("count > 1").select("digest"))
     located = arrivals.select("id", "digest", "n_chars", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     found = located.join(registry, "digest").select(
         F.col("id").alias(id_col),
