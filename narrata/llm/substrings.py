@@ -50,8 +50,10 @@ def fingerprints(words: list[bytes], window: int) -> np.ndarray:
 
 def window_digests(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
     """128-bit digests of the windows that start at ``starts``, as rows of two longs."""
-    digest, join = xxhash.xxh128_digest, b" ".join
-    raw = b"".join(digest(join(words[i : i + window])) for i in starts.tolist())
+    digest, text = xxhash.xxh128_digest, b" ".join(words)
+    at = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
+    raw = b"".join([digest(text[i:j]) for i, j in zip(at[starts].tolist(), (at[starts + window] - 1).tolist(), strict=True)])
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
@@ -75,7 +77,8 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
             for i, text, fps in zip(batch["id"].to_numpy(), batch["text"], batch["fps"], strict=True):
                 words = words_of(text)
                 starts = np.flatnonzero(np.isin(fingerprints(words, window), fps))
-                w = np.unique(window_digests(words, starts, window), axis=0)
+                w = window_digests(words, starts, window)
+                w = w[np.unique(w[:, 0], return_index=True)[1]]
                 out.append(w)
                 ids.append(np.full(len(w), i))
             w = np.concatenate(out)
@@ -141,19 +144,20 @@ class FingerprintIndex:
         merged = reduce(DataFrame.unionByName, [*old, new.withColumn("new", F.lit(1))])
         hits = merged.groupBy("fp").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("fp")
         self.runs.append((label, new))
-        lists = self.work.table("hits", merged.join(hits, "fp").groupBy("id").agg(F.collect_set("fp").alias("fps")))
+        lists = self.work.table("hits", merged.join(hits.hint("shuffle_hash"), "fp").groupBy("id").agg(F.collect_set("fp").alias("fps")))
 
         # verify on the texts; the first document of each window keeps it
         texts = reduce(DataFrame.unionByName, self.seen)
-        same = self.work.table("windows", _windows(texts.join(lists, "id"), self.window))
-        first = same.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = same.join(first, ["w1", "w2"]).where("id > first").groupBy("id").agg(F.collect_set("w1").alias("gone"))
+        same = self.work.table("windows", _windows(texts.join(lists.hint("shuffle_hash"), "id"), self.window))
+        first = same.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").drop("last")
+        first = self.work.table("first", first)
+        later = same.join(first.hint("shuffle_hash"), ["w1", "w2"]).where("id > first").groupBy("id").agg(F.collect_set("w1").alias("gone"))
         gone = self.work.table(f"gone-{self.n}", later)
-        self.work.drop("windows", "hits")
+        self.work.drop("windows", "hits", "first")
         if len(self.runs) > self.most_runs:
             self.compact()
 
-        joined = docs.join(gone, docs[id_col] == gone["id"], "left").withColumn("__cut", _kept(F.col(text_col), F.col("gone"), self.window))
+        joined = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["id"], "left").withColumn("__cut", _kept(F.col(text_col), F.col("gone"), self.window))
         return joined.select(*(F.col("__cut.kept").alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns), "__cut.n_words", "__cut.n_removed")
 
     def compact(self) -> None:
