@@ -76,12 +76,12 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
         return F.struct(w.alias("w"), (s["z"] + F.exp(w)).alias("z"))
 
     whole = F.aggregate(values, start, add, lambda s: s["z"])
-    seek = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("z"), first.alias("x"))
+    seek = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("z"), first.alias("x"), (u * whole).alias("goal"))
 
     def pick(s: Column, x: Column) -> Column:
         w = weight(s["w"], x)
         z = s["z"] + F.exp(w)
-        return F.struct(w.alias("w"), z.alias("z"), F.when(z < u * whole, F.least(x + 1, last)).otherwise(s["x"]).alias("x"))
+        return F.struct(w.alias("w"), z.alias("z"), F.when(z < s["goal"], F.least(x + 1, last)).otherwise(s["x"]).alias("x"), s["goal"].alias("goal"))
 
     drawn = F.aggregate(values, seek, pick, lambda s: s["x"])
     return F.when((total <= 0) | (good <= 0) | (draws <= 0), F.lit(0).cast("long")).otherwise(drawn)
