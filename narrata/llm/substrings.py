@@ -5,7 +5,9 @@ equal fingerprints, while neighbouring windows mostly share one, so a text has a
 as windows. Each batch of documents adds one immutable run of (fingerprint, id) rows, sorted by fingerprint. The
 runs are merge-joined: fingerprints that occur in two documents, one of them new, are hits. A hit is verified on
 the texts: the documents that have it are read again and their windows under it compared by a 128-bit digest of
-the words. Runs are compacted when there are many.
+the words. What was verified
+is kept as runs of window digests, each with the first document that has it, so an old document is read again only
+when a fingerprint that was its alone is met for the first time. Runs are compacted when there are many.
 
 A fingerprint that a third of all documents share is counted with partial sums and joined by Spark's skew-splitting
 sort-merge join; its windows meet only in a count and a minimum by window, never pair by pair.
@@ -117,7 +119,8 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, window: int = 13, most_runs: int = 4) -> None:
         self.work, self.window, self.most_runs = Workspace(spark, "substrings"), window, most_runs
-        self.runs: list[tuple[str, DataFrame]] = []
+        self.runs: dict[str, DataFrame] = {}  # (id, fp), sorted by fp
+        self.windows: dict[str, DataFrame] = {}  # (w1, w2, first, last) of the windows verified so far
         self.seen: list[DataFrame] = []
         self.largest: int | None = None
         self.n = 0
@@ -131,27 +134,33 @@ class FingerprintIndex:
         """
         self.n += 1
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-        label = f"run-{self.n}"
-        new = self.work.table(label, _sorted_run(rows, self.window))
+        new = self.work.table(f"run-{self.n}", _sorted_run(rows, self.window))
         least, most = new.agg(F.min("id"), F.max("id")).first()
         if least is not None and self.largest is not None and least <= self.largest:
             raise ValueError(f"id {least} comes after {self.largest}")
-        self.largest = self.largest if most is None else most
+        before, self.largest = self.largest, self.largest if most is None else most
         self.seen.append(rows)
 
-        # merge: fingerprints of two documents at least, one of them new
-        old = [r.withColumn("new", F.lit(0)) for _, r in self.runs]
+        # merge: fingerprints of two documents at least, one of them new; of old documents only those whose
+        # fingerprint was alone so far, the windows under the others are in a run already
+        old = [r.withColumn("new", F.lit(0)) for r in self.runs.values()]
         merged = reduce(DataFrame.unionByName, [*old, new.withColumn("new", F.lit(1))])
-        hits = merged.groupBy("fp").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("fp")
-        self.runs.append((label, new))
-        lists = self.work.table("hits", merged.join(hits.hint("shuffle_hash"), "fp").groupBy("id").agg(F.collect_set("fp").alias("fps")))
+        hits = merged.groupBy("fp").agg(F.sum("new").alias("fresh"), F.count("*").alias("n")).where("n > 1 and fresh > 0")
+        wanted = merged.join(hits.select("fp", (F.col("n") - F.col("fresh")).alias("before")).hint("shuffle_hash"), "fp").where("new = 1 or before = 1")
+        self.runs[f"run-{self.n}"] = new
+        lists = self.work.table("hits", wanted.groupBy("id").agg(F.collect_set("fp").alias("fps")))
 
         # verify on the texts; the first document of each window keeps it
         texts = reduce(DataFrame.unionByName, self.seen)
         same = self.work.table("windows", _windows(texts.join(lists.hint("shuffle_hash"), "id"), self.window))
-        first = same.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").drop("last")
-        first = self.work.table("first", first)
-        later = same.join(first.hint("shuffle_hash"), ["w1", "w2"]).where("id > first").groupBy("id").agg(F.collect_set("w1").alias("gone"))
+        label = f"windows-{self.n}"
+        self.windows[label] = self.work.table(label, same.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")))
+        first = reduce(DataFrame.unionByName, self.windows.values())
+        if len(self.windows) > 1:
+            first = first.groupBy("w1", "w2").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        first = self.work.table("first", first.where("last > first").select("w1", "w2", "first"))
+        fresh = same if before is None else same.where(F.col("id") > before)
+        later = fresh.join(first.hint("shuffle_hash"), ["w1", "w2"]).where("id > first").groupBy("id").agg(F.collect_set("w1").alias("gone"))
         gone = self.work.table(f"gone-{self.n}", later)
         self.work.drop("windows", "hits", "first")
         if len(self.runs) > self.most_runs:
@@ -161,12 +170,16 @@ class FingerprintIndex:
         return joined.select(*(F.col("__cut.kept").alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns), "__cut.n_words", "__cut.n_removed")
 
     def compact(self) -> None:
-        """Merge all runs into one sorted run."""
-        merged = reduce(DataFrame.unionByName, (r for _, r in self.runs))
-        label = f"run-{self.n}-compacted"
-        whole = self.work.table(label, merged.repartitionByRange("fp", "id").sortWithinPartitions("fp", "id"))
-        self.work.drop(*(name for name, _ in self.runs))
-        self.runs = [(label, whole)]
+        """Merge all runs of fingerprints into one, and all runs of windows."""
+        merged = reduce(DataFrame.unionByName, self.runs.values()).repartitionByRange("fp", "id").sortWithinPartitions("fp", "id")
+        self.runs = self._replaced(self.runs, f"run-{self.n}-compacted", merged)
+        first = reduce(DataFrame.unionByName, self.windows.values()).groupBy("w1", "w2").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        self.windows = self._replaced(self.windows, f"windows-{self.n}-compacted", first)
+
+    def _replaced(self, old: dict[str, DataFrame], label: str, merged: DataFrame) -> dict[str, DataFrame]:
+        new = {label: self.work.table(label, merged)}
+        self.work.drop(*old)
+        return new
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, batches: int = 2) -> DataFrame:
