@@ -1 +1 @@
-"""Readers and writers."""
+"""Sources and sinks: report files, split files, digests, manifests, reading packets."""

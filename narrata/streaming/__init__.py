@@ -1 +1 @@
-"""Structured Streaming wrappers around the row-local operators."""
+"""Structured Streaming around the row-local operators."""
