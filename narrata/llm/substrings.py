@@ -153,6 +153,7 @@ class FingerprintIndex:
         # verify on the texts; the first document of each window keeps it
         texts = reduce(DataFrame.unionByName, self.seen)
         same = self.work.table("windows", _windows(texts.join(lists.hint("shuffle_hash"), "id"), self.window))
+        self.work.drop("hits")
         label = f"windows-{self.n}"
         self.windows[label] = self.work.table(label, same.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")))
         first = reduce(DataFrame.unionByName, self.windows.values())
@@ -162,7 +163,7 @@ class FingerprintIndex:
         fresh = same if before is None else same.where(F.col("id") > before)
         later = fresh.join(first.hint("shuffle_hash"), ["w1", "w2"]).where("id > first").groupBy("id").agg(F.collect_set("w1").alias("gone"))
         gone = self.work.table(f"gone-{self.n}", later)
-        self.work.drop("windows", "hits", "first")
+        self.work.drop("windows", "first")
         if len(self.runs) > self.most_runs:
             self.compact()
 
