@@ -1,24 +1,9 @@
-"""Queries over the test tables, and DuckDB SQL that gives the same rows."""
+"""All queries of the engine's own operators, and DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from narrata.queries import documents, reports, scores, splits
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def drop_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by the first rule that drops them: no id, too short, kept."""
-    docs = table(spark, sf_dir, "documents")
-    reason = F.when(F.col("doc_id").isNull(), "drop_missing_id").when(F.length(F.coalesce("text", F.lit(""))) < 200, "drop_short_narrative").otherwise("kept")
-    return docs.groupBy(reason.alias("drop_reason")).agg(F.count("*").alias("n_rows"))
-
-
-QUERIES = {"drop_funnel": drop_funnel}
-ORACLES = {
-    "drop_funnel": """select case when doc_id is null then 'drop_missing_id' when length(coalesce(text,'')) < 200 then 'drop_short_narrative'
-        else 'kept' end as drop_reason, count(*) as n_rows from documents group by 1""",
-}
+MODULES = (documents, reports, splits, scores)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
