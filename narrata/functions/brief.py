@@ -10,6 +10,7 @@ from narrata.functions.codes import map_factor, map_phase
 from narrata.functions.synopsis import supported_synopsis
 from narrata.functions.text import LINE_END, sentences, strip, text_of, texts, word_count
 from narrata.packs import fixed
+from narrata.plans.fence import fence
 
 FIELDS = ("what_happened", "what_almost_happened", "phase_of_flight", "primary_factor", "contributing_factors", "recoverable", "recoverable_note", "lesson")
 ANY_HEADING = r"(?md)^([A-Za-z][A-Za-z -]*):[ \t]*$"
@@ -35,7 +36,7 @@ def parse(df: DataFrame, text: str, brief: str = "brief", error: str = "parse_er
     t = F.col("__text")
     df = df.withColumns({"__names": F.regexp_extract_all(t, F.lit(ANY_HEADING), F.lit(1)), "__raw": F.slice(F.split(t, HEADING), 2, 7), "__lead": F.get(F.split(t, HEADING), F.lit(0))})
     raw = lambda i: F.get("__raw", F.lit(i))
-    df = df.withColumn("__v", F.transform("__raw", strip))
+    df = fence(df.withColumn("__v", F.transform("__raw", strip)), "__names", "__raw", "__lead", "__v")
     happened, almost, phase, factor, bullets, outcome, lesson = (F.get("__v", F.lit(i)) for i in range(7))
     df = df.withColumns({"__out": F.split(outcome, LINE_END), "__bul": F.when(bullets == fixed.NONE, texts([])).otherwise(F.split(bullets, LINE_END))})
     sections = []
@@ -53,10 +54,10 @@ def parse(df: DataFrame, text: str, brief: str = "brief", error: str = "parse_er
         F.when((F.size(sentences(lesson)) != 1) | lesson.contains("\n") | ~lesson.rlike(r"[.!?]\z"), wrong[8]),
     ]
     first = [F.when(F.col("__names") != texts(fixed.HEADINGS), wrong[0]), F.when((F.size("__raw") < 7) | (F.col("__lead") != ""), wrong[1])]
-    df = df.withColumn(error, F.coalesce(*first, *sections, *late))
+    df = fence(df.withColumn(error, F.coalesce(*first, *sections, *late)), error, "__out", "__bul")
     values = (happened, almost, phase, factor, F.transform("__bul", lambda x: strip(F.substring(x, 3, 1 << 30))), F.get("__out", F.lit(0)), F.coalesce(F.get("__out", F.lit(1)), F.lit("")), lesson)
     df = df.withColumn(brief, F.when(F.col(error).isNull(), F.struct(*(v.alias(k) for k, v in zip(FIELDS, values, strict=True)))))
-    return df.drop("__text", "__names", "__raw", "__lead", "__v", "__out", "__bul")
+    return fence(df.drop("__text", "__names", "__raw", "__lead", "__v", "__out", "__bul"), brief)
 
 
 def envelope(brief: str, error: str, raw: str) -> Column:
@@ -75,7 +76,9 @@ def gold(df: DataFrame, out: str = "gold") -> DataFrame:
     where the synopsis lacks support or the rendered brief would not parse. Evidence columns ``source_*`` stay."""
     df = supported_synopsis(df, "synopsis", "narrative")
     df = df.withColumns({"__happened": F.array_join("supported", " "), "__outcome": rules.recoverable(F.col("source_parts"))})
+    df = fence(df, "__happened", "__outcome")
     df = df.withColumn("__almost", rules.near_miss(F.col("source_parts"), F.col("__happened")))
+    df = fence(df, "__almost")
     evidence = F.col("__outcome.evidence")
     note = F.when((word_count(evidence) <= 40) & ~F.col("__happened").contains(evidence), evidence).otherwise(F.lit(""))
     values = (
@@ -84,7 +87,8 @@ def gold(df: DataFrame, out: str = "gold") -> DataFrame:
         rules.lesson(F.col("source_parts"), F.col("__happened"), F.col("__almost")),
     )
     df = df.withColumn("__gold", F.struct(*(v.alias(k) for k, v in zip(FIELDS, values, strict=True))))
-    df = parse(df.withColumn("gold_text", render(F.col("__gold"))), "gold_text", "__parsed", "__error")
+    df = fence(df, "__gold")
+    df = parse(fence(df.withColumn("gold_text", render(F.col("__gold"))), "gold_text"), "gold_text", "__parsed", "__error")
     keep = (F.size("supported") > 0) & F.col("__error").isNull()
     df = df.withColumns({out: F.when(keep, F.col("__gold")), "gold_text": F.when(keep, F.col("gold_text"))})
-    return df.drop("__happened", "__outcome", "__almost", "__gold", "__parsed", "__error")
+    return fence(df.drop("__happened", "__outcome", "__almost", "__gold", "__parsed", "__error"), out, "gold_text")

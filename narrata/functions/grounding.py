@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.functions.text import acronyms, designators, number_tokens, plain_number, rx, text_of, texts, upper_tokens
 from narrata.packs import fixed
+from narrata.plans.fence import fence
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,12 @@ class Source:
         return cls(*(F.col(f"{prefix}_{k}") for k in cls.__dataclass_fields__))
 
 
+def with_source(df: DataFrame, narrative: str, prefix: str = "source") -> DataFrame:
+    """``df`` with the columns of ``Source.named(prefix)``, evaluated once per row."""
+    columns = Source.of(F.col(narrative)).columns(prefix)
+    return fence(df.withColumns(columns), *columns)
+
+
 def claimed_classes(c: Column) -> Column:
     """Event classes that an output claims, in the order of the pack."""
     return F.array_compact(F.array(*(F.when(text_of(c).rlike(rx(claim)), name) for name, claim, _ in fixed.EVENT_CLASSES)))

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.functions.grounding import Source, any_flag, grounding_flags
+from narrata.functions.grounding import Source, any_flag, grounding_flags, with_source
 from narrata.functions.text import NEVER, content_words, overlap, replace_each, rx, sentences, strip, text_of, texts, word_count
 from narrata.packs import fixed
+from narrata.plans.fence import fence
 
 ROLE_GROUP = rf"\b(?:{fixed.ROLE_MODIFIER}\s+){{0,2}}"
 CLAIMED = r"\b(?:I was|I am|I'm|as|as the|being the|acting) {0}\b|\b{0} \(me\)|\bmyself\b"
@@ -79,12 +80,14 @@ def supported_synopsis(df: DataFrame, synopsis: str, narrative: str, out: str =
     of ``Source`` for the narrative are added under ``prefix`` and stay for later use.
     """
     text, told = text_of(F.col(narrative)), text_of(F.col(synopsis))
-    df = df.withColumns({**Source.of(F.col(narrative)).columns(prefix), f"{prefix}_parts": sentences(text), f"{prefix}_words": content_words(text)})
+    df = with_source(df.withColumns({f"{prefix}_parts": sentences(text), f"{prefix}_words": content_words(text)}), narrative, prefix)
+    df = fence(df, f"{prefix}_parts", f"{prefix}_words")
     source, parts = Source.named(prefix), F.col(f"{prefix}_parts")
     hedge = lambda keep: F.array_distinct(F.flatten(F.transform(F.filter(parts, lambda s: s.rlike(rx(fixed.HEDGE)) == F.lit(keep)), content_words)))
     df = df.withColumns({"__hedged": hedge(True), "__plain": hedge(False), "__told": tidy(drop_qualifiers(generalise_types(generalise_roles(told, text), text), text))})
     whole_event = rx(f"^(?:{fixed.EVENT_WORDS})$")
     df = df.withColumns({"__only": F.filter(F.array_except("__hedged", "__plain"), lambda w: w.rlike(whole_event)), "__claims": sentences(F.col("__told"))})
+    df = fence(df, "__hedged", "__only", "__claims")
 
     def holds(s: Column) -> Column:
         words = content_words(s)
@@ -96,4 +99,4 @@ def supported_synopsis(df: DataFrame, synopsis: str, narrative: str, out: str =
     df = df.withColumn("__ok", F.when(text.rlike(rx(fixed.UNSURE)) | high, F.lit(None)).otherwise(F.transform("__claims", lambda s: F.struct(s.alias("s"), holds(s).alias("ok")))))
     kept = F.slice(F.transform(F.filter("__ok", lambda x: x["ok"]), lambda x: capitalised(x["s"])), 1, 2)
     df = df.withColumn(out, F.when(F.coalesce(F.get("__ok", F.lit(0))["ok"], F.lit(False)), kept).otherwise(texts([])))
-    return df.drop("__hedged", "__plain", "__told", "__only", "__claims", "__ok")
+    return fence(df.drop("__hedged", "__plain", "__told", "__only", "__claims", "__ok"), out)

@@ -9,6 +9,7 @@ from narrata.functions import brief as briefs
 from narrata.functions.grounding import Source, any_flag, grounding_flags
 from narrata.functions.text import normal_hash, strip, text_of, truncate
 from narrata.packs import fixed
+from narrata.plans.fence import fence
 
 RELATED = r"(?U)\b\d{6,8}\b"
 
@@ -55,10 +56,10 @@ def curate(reports: DataFrame, pos: str = "pos", narrative_chars: int = 6000, ma
     no = F.col("drop_reason").isNull() & (F.size("__whole") == 0)
     df = whole.withColumns({"drop_reason": F.when(no, "drop_unsupported_synopsis").otherwise(F.col("drop_reason")), "__cut": cut})
     df = df.withColumns({"truncated": F.col("drop_reason").isNull() & F.col("__cut.truncated"), "narrative": F.col("__cut.text")}).drop("__cut", "__whole")
-    df = briefs.gold(df)
+    df = briefs.gold(fence(df, "drop_reason", "truncated", "narrative"))
     df = df.withColumn("flags", grounding_flags(Source.named("source"), F.col("gold_text")))
     messages = F.concat(briefs.prompt(F.col("narrative")), F.array(F.struct(F.lit("assistant").alias("role"), F.col("gold_text").alias("content"))))
-    df = df.withColumn("messages", messages)
+    df = fence(df.withColumn("messages", messages), "flags", "messages")
     length = F.aggregate("messages", F.lit(0), lambda n, m: n + F.length(m["content"]))
     reason = F.coalesce(
         F.col("drop_reason"),
@@ -70,7 +71,7 @@ def curate(reports: DataFrame, pos: str = "pos", narrative_chars: int = 6000, ma
         "drop_reason": reason, "token_count": length, "near_miss_gold": F.col("gold.what_almost_happened") != fixed.NONE,
         "recovery_no_gold": F.col("gold.recoverable") == "No",
     })
-    return df.drop(*(c for c in df.columns if c.startswith("source_")), "supported")
+    return fence(df.drop(*(c for c in df.columns if c.startswith("source_")), "supported"), "drop_reason", "token_count")
 
 
 def eligible(curated: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.functions import brief as briefs
-from narrata.functions.grounding import Source, any_flag, grounding_flags
+from narrata.functions.grounding import Source, any_flag, grounding_flags, with_source
 from narrata.functions.text import content_words, overlap
 from narrata.packs import fixed
+from narrata.plans.fence import fence
 
 #: Metrics of the paired table, in the order of the report.
 REPORTED = ("valid_schema", "factor_acc", "phase_acc", "recoverable_acc", "recoverable_known_acc", "grounding_fail", "median_tokens", "near_miss_distinct", "lesson_recall", "lesson_emitted", "lesson_grounded")
@@ -33,8 +34,8 @@ def score(rows: DataFrame) -> DataFrame:
     Gold must parse; a row whose gold does not has null scores.
     """
     df = briefs.parse(briefs.parse(rows, "gold_text", "gold", "gold_error"), "text", "brief", "parse_error")
-    df = df.withColumns({**Source.of(F.col("narrative")).columns("source"), "__words": content_words(F.col("narrative"))})
-    df = df.withColumn("grounding_flags", grounding_flags(Source.named("source"), F.col("text")))
+    df = fence(with_source(df, "narrative").withColumn("__words", content_words(F.col("narrative"))), "__words")
+    df = fence(df.withColumn("grounding_flags", grounding_flags(Source.named("source"), F.col("text"))), "grounding_flags")
     valid, b, g = F.col("parse_error").isNull(), F.col("brief"), F.col("gold")
     right = lambda field: valid & (b[field] == g[field])
     told = valid & (b["lesson"] != fixed.NO_LESSON)

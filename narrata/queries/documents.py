@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.functions import text as t
-from narrata.functions.grounding import Source, grounding_flags
+from narrata.functions.grounding import Source, grounding_flags, with_source
 from narrata.queries import table
 from narrata.sources.files import dataset_digest
 
@@ -150,8 +150,8 @@ MASK = r"regexp_replace(coalesce({0}, ''), '[^\x00-\x7F]', 'x', 'g')"
         array_to_string(list_sort(list_filter(oa, lambda v: not list_contains(sa, v))), ' ') as acronyms from x""")
 def answer_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and acronyms of an answer that its question lacks."""
-    flags = grounding_flags(Source.of(F.col("narrative")), F.col("output"))
-    return pairs(spark, sf_dir).select("conv_id", "turn", flags.alias("f")).select("conv_id", "turn", F.array_join("f.numbers", " ").alias("numbers"), F.array_join("f.acronyms", " ").alias("acronyms"))
+    flags = grounding_flags(Source.named("source"), F.col("output"))
+    return with_source(pairs(spark, sf_dir), "narrative").select("conv_id", "turn", flags.alias("f")).select("conv_id", "turn", F.array_join("f.numbers", " ").alias("numbers"), F.array_join("f.acronyms", " ").alias("acronyms"))
 
 
 SUMS = " || ',' || ".join(f"coalesce(sum(('0x' || substr(h, {13 * k + 1}, 13))::bigint), 0)::varchar" for k in range(5))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from narrata.functions import brief as briefs
 from narrata.functions import codes, rules
 from narrata.functions import synopsis as syn
-from narrata.functions.grounding import Source, any_flag, grounding_flags
+from narrata.functions.grounding import Source, any_flag, grounding_flags, with_source
 from narrata.functions.text import designators, sentences
 from narrata.operators import curate
 from narrata.queries.templates import reports, reports_sql
@@ -212,8 +212,8 @@ OUTPUT_SQL = OUTPUT.format("pos::varchar")
 
 
 def flagged(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    df = reports(spark, sf_dir).withColumn("o", F.expr(OUTPUT.format("pos")))
-    flags = grounding_flags(Source.of(F.col("narrative")), F.col("o"))
+    df = with_source(reports(spark, sf_dir).withColumn("o", F.expr(OUTPUT.format("pos"))), "narrative")
+    flags = grounding_flags(Source.named("source"), F.col("o"))
     return df.select("pos", F.array_join(flags[kind], ";").alias(kind))
 
 

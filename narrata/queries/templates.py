@@ -112,7 +112,8 @@ TEMPLATES = [
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, k, report_id, the coded fields and texts, related_id) of every event. One id in 97 is blank, and ids
     that end in nine repeat the one before."""
-    rows = spark.createDataFrame([(k, *(t[c] for c in INPUT)) for k, t in enumerate(TEMPLATES)], "k int, " + ", ".join(f"{c} string" for c in INPUT))
+    each = [F.struct(F.lit(k).alias("k"), *(F.lit(t[c]).cast("string").alias(c) for c in INPUT)) for k, t in enumerate(TEMPLATES)]
+    rows = spark.range(1).select(F.inline(F.array(*each)))
     e = F.col("event_id")
     events = table(spark, sf_dir, "events").select(
         e.alias("pos"), (e % len(TEMPLATES)).cast("int").alias("k"),
