@@ -22,7 +22,7 @@ def unnegated(c: Column, pattern: str) -> Column:
     """
 
     def counts(before: Column, after: Column) -> Column:
-        clause = F.element_at(F.split(F.right(before, F.lit(LEFT)), rx(r"[;,]|\bbut\b|\bafter\b")), -1)
+        clause = F.regexp_replace(F.right(before, F.lit(LEFT)), rx(r"(?s)\A.*(?:[;,]|\bbut\b|\bafter\b)"), "")
         ok = ~clause.rlike(rx(fixed.NEGATION))
         if pattern == fixed.COMPLETED:
             ok = ok & ~F.left(after, F.lit(RIGHT)).rlike(AVOIDED) & ~clause.rlike(BEFORE)
@@ -79,7 +79,7 @@ def contributors(narrative: Column, human_factors: Column, factors: Column, most
     def phrase(code: Column) -> Column:
         pattern = F.concat(F.lit("(?iU)"), lookup(fixed.CONTRIBUTOR_PHRASES, code))
         found = F.regexp_substr(text, pattern)
-        before = F.right(F.get(F.split(text, pattern, 2), F.lit(0)), F.lit(25))
+        before = F.right(F.left(text, F.regexp_instr(text, pattern) - 1), F.lit(25))
         return F.when(found.isNotNull() & ~before.rlike(rx(fixed.NEGATION)), found)
 
     found = F.array_compact(F.transform(codes, phrase))

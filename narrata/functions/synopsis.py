@@ -67,7 +67,7 @@ def capitalised(c: Column) -> Column:
 
 def cause_ok(s: Column, words: Column, source_words: Column, hedged: Column, hedged_only: Column) -> Column:
     """A stated cause has 0.6 of its words in the narrative, and does not rest on what the narrative only guesses."""
-    cause = content_words(F.get(F.split(s, rx(fixed.CAUSAL), 2), F.lit(1)))
+    cause = content_words(F.regexp_extract(s, rx(rf"(?s){fixed.CAUSAL}(.*)\z"), 1))
     attested = (F.size(cause) == 0) | (overlap(cause, source_words) >= 0.6)
     terms = F.when(F.size(cause) > 0, cause).when(s.rlike(rx(fixed.CAUSE_VERB)), words).otherwise(texts([]))
     return attested & (F.size(F.array_intersect(terms, hedged)) < 2) & ~F.arrays_overlap(words, hedged_only)

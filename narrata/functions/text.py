@@ -17,6 +17,8 @@ from narrata.packs import fixed
 WS = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
+#: Code points that are no characters and stand in no text; were the first in one, it would become the second.
+MARK, OTHER = "\ufdd0", "\ufdd1"
 #: A pattern that matches nothing.
 NEVER = "(?!)"
 
@@ -48,8 +50,8 @@ def sentences(c: Column) -> Column:
     """
     guards = "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')})" for a in fixed.ABBREVIATIONS)
     spaced = F.regexp_replace(text_of(c), r"(?<=[a-z0-9%)])\.(?=[A-Z])", ". ")
-    parts = F.split(spaced, rf"""(?iu){guards}(?<=[.!?]){WS}+(?=[A-Z\["'])|\n+""")
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    broken = F.regexp_replace(spaced, rf"""(?iu){guards}(?<=[.!?]){WS}+(?=[A-Z\["'])""", "\n")
+    return F.filter(F.transform(F.split(broken, "\n"), strip), lambda s: s != "")
 
 
 def word_count(c: Column) -> Column:
@@ -99,28 +101,33 @@ def normal_hash(c: Column) -> Column:
     return F.sha2(F.regexp_replace(strip(F.lower(text_of(c))), f"{WS}+", " "), 256)
 
 
+def marked(c: Column, pattern: str) -> Column:
+    """The text between matches of ``pattern`` and the matches, in turn, as an array.
+
+    Splitting at one plain character needs no pattern; Spark compiles the pattern of ``split`` anew for each value.
+    """
+    return F.split(F.regexp_replace(F.translate(c, MARK, OTHER), F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK)
+
+
 def any_match(c: Column, pattern: str, test: Callable[[Column, Column], Column]) -> Column:
     """Whether some match of ``pattern`` in ``c`` passes ``test(before, after)``, the texts on its two sides.
 
     The text between matches and the matches add up to the whole, so one pass that sums their lengths has the place
     of each match.
     """
-    gaps, found = F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("own")))
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + x["own"]
-        return F.struct(end.alias("at"), (state["ok"] | test(F.substring(c, F.lit(1), start), F.substring(c, end + 1, F.length(c)))).alias("ok"))
+        end = state["at"] + F.length(x)
+        passes = F.when(state["match"] & ~state["ok"], test(F.substring(c, F.lit(1), state["at"]), F.substring(c, end + 1, F.length(c)))).otherwise(state["ok"])
+        return F.struct(end.alias("at"), (~state["match"]).alias("match"), passes.alias("ok"))
 
-    seen = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.lit(False).alias("ok")), step, lambda s: s["ok"])
+    seen = F.aggregate(marked(c, pattern), F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.lit(False).alias("ok")), step, lambda s: s["ok"])
     return F.when(F.regexp_like(c, F.lit(pattern)), seen).otherwise(F.lit(False))
 
 
 def replace_each(c: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
     """``c`` with each match of ``pattern`` replaced by ``new(match)``."""
-    gaps, found = F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    joined = F.array_join(F.zip_with(gaps, F.concat(F.transform(found, new), texts([""])), lambda a, b: F.concat(a, b)), "")
+    joined = F.array_join(F.transform(marked(c, pattern), lambda x, i: F.when(i % 2 == 1, new(x)).otherwise(x)), "")
     return F.when(F.regexp_like(c, F.lit(pattern)), joined).otherwise(c)
 
 
