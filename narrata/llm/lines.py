@@ -59,8 +59,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are expected to be unique. An empty table gives no rows.
     """
     gone = repeated_lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col, run_lines)
-    joined = docs.join(gone, docs[id_col] == gone["id"], "left")
+    gone = gone.select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
+    joined = docs.join(gone, docs[id_col] == gone["__id"], "left")
     lines = lines_of(F.col(text_col))
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"]))
-    text = F.when(F.col("gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    return joined.select(*(text.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("__gone", s["i"]))
+    text = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    return joined.select(*(text.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))

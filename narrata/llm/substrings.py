@@ -167,7 +167,8 @@ class FingerprintIndex:
         if len(self.runs) > self.most_runs:
             self.compact()
 
-        joined = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["id"], "left").withColumn("__cut", _kept(F.col(text_col), F.col("gone"), self.window))
+        cut = gone.select(F.col("id").alias("__id"), F.col("gone").alias("__gone")).hint("shuffle_hash")
+        joined = docs.join(cut, docs[id_col] == cut["__id"], "left").withColumn("__cut", _kept(F.col(text_col), F.col("__gone"), self.window))
         return joined.select(*(F.col("__cut.kept").alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns), "__cut.n_words", "__cut.n_removed")
 
     def compact(self) -> None:

@@ -120,7 +120,7 @@ def with_first_pages(pages: DataFrame, id_col: str = "page_id", html_col: str =
     """``pages`` with ``refers_to``: of equal payloads of at least ``least_bytes`` bytes the smallest id, null for that page itself.
 
     Null html is the empty payload. Rows with a null id refer to the first page like others and are never first
-    while another is there.
+    while another is there. A column ``refers_to`` that ``pages`` has is replaced.
     """
     payload = F.encode(F.coalesce(html_col, F.lit("")), "utf-8")
     sha = F.sha2(payload, 256)
@@ -131,7 +131,7 @@ def with_first_pages(pages: DataFrame, id_col: str = "page_id", html_col: str =
     again = work.table("revisits", again)
     keyed = pages.withColumn("__key", sha)
     same = keyed[id_col].eqNullSafe(again["__id"]) & (keyed["__key"] == again["__sha"])
-    return keyed.join(again, same, "left").select(*(keyed[f"`{c}`"] for c in pages.columns), "refers_to")
+    return keyed.join(again, same, "left").select(*(keyed[f"`{c}`"] for c in pages.columns if c != "refers_to"), again["refers_to"])
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = 8 << 20, level: int = 6) -> None:
