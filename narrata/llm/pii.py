@@ -18,7 +18,7 @@ ROUNDS = 8
 #: Kinds and their patterns, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\b(?i:password|passwd|pwd|secret|token|api_?key) ?[=:] ?[A-Za-z0-9]{6,}",
+    "secret": r"\b(?i:password|passwd|pwd|secret|token|api_?key)[\"']? ?[=:] ?[\"']?[A-Za-z0-9]{6,}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -166,12 +166,15 @@ def email(m: Column, key: str) -> Column:
 
 
 def secret(m: Column, key: str) -> Column:
-    """The value after ``=`` or ``:`` is permuted as hexadecimal digits where it is such, else as letters and digits."""
-    name = F.regexp_extract(m, "^([A-Za-z_]+ ?[=:] ?)", 1)
+    """The value after ``=`` or ``:`` is permuted as hexadecimal digits where it is such, else as letters and digits.
+
+    Quotes around the name or before the value stay, and so do capitals where all letters of the value are.
+    """
+    name = F.regexp_extract(m, "^([A-Za-z_]+[\"']? ?[=:] ?[\"']?)", 1)
     value = F.substr(m, F.length(name) + 1)
     low = F.lower(value)
-    new = F.when(value.rlike("^[0-9a-f]+$"), permute_text(low, 16, key, "secret")).otherwise(permute_text(low, 36, key, "secret"))
-    return F.concat(name, new)
+    new = F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), permute_text(low, 16, key, "secret")).otherwise(permute_text(low, 36, key, "secret"))
+    return F.concat(name, F.when((value != low) & (value == F.upper(value)), F.upper(new)).otherwise(new))
 
 
 def access_key(m: Column, key: str) -> Column:

@@ -150,6 +150,17 @@ def test_pseudonyms(spark):
     assert re.search(r"mail [a-z]{3}\.[a-z]\d@example\.org, ssn \d{3}-\d{2}-\d{4}, born \d\d/\d\d/\d{4}", got[4]["text"])
 
 
+def test_pseudonyms_of_secrets(spark):
+    """Quoted values as the tables have them, and the other ways to write a name and its value."""
+    value = "04dbebab77c1e09f5a2b"
+    forms = ['token = "{}"', "token = '{}'", "token = {}", "password:{}", '"api_key": "{}"', "'secret':'{}'"]
+    docs = spark.createDataFrame([(i, f"a {f.format(value)}\nb") for i, f in enumerate(forms)] + [(9, f'TOKEN = "{value.upper()}"'), (10, 'token = ""')], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_pii"], r["text"]) for r in pii.pseudonymise(docs).collect()}
+    new = re.search('token = "(.*)"', got[0][1])[1]
+    assert new != value and re.fullmatch("[0-9a-f]{20}", new)
+    assert got == {i: (1, f"a {f.format(new)}\nb") for i, f in enumerate(forms)} | {9: (1, f'TOKEN = "{new.upper()}"'), 10: (0, 'token = ""')}
+
+
 def test_pseudonyms_are_bijections(spark):
     n = 100
     values = spark.range(n * n).select(F.col("id"), pii.feistel((F.col("id") / n).cast("long"), F.col("id") % n, F.lit(n), F.lit(n), "k", "t").alias("p"))
