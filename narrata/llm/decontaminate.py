@@ -189,17 +189,12 @@ def _matcher(shared):
     return matched
 
 
-def _cleaner(shared):
-    @F.pandas_udf("text string, covered double")
-    def cleaned(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            words = words_of(t)
-            spans, _ = shared.value.match(words)
-            rows.append((cut(t, spans), sum(e - b for b, e in spans) / max(1, len(words))))
-        return pd.DataFrame(rows, columns=["text", "covered"])
+def _cut_text(text, spans):
+    @F.pandas_udf("string")
+    def shortened(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut(t, [(int(b), int(e)) for b, e in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    return cleaned.asNondeterministic()  # else the optimizer would copy it into the filter on its result
+    return shortened(text, spans)
 
 
 def merged_spans(spans):
@@ -237,15 +232,24 @@ def remove_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``docs`` without benchmark passages: hit spans are cut out of the texts, all columns stay.
 
     A document of which more than ``most_covered`` of the words are hit goes as a whole. Null and empty texts stay
-    as they are. length_col: a column with the number of code points, set anew where a text was cut.
+    as they are. length_col: a column with the number of code points, set anew where a text was cut. All automata
+    read the input's texts; their spans are merged before anything is measured or cut, so ``max_words`` changes no result.
     """
     work, out = Workspace(docs.sparkSession, "decontaminate"), docs
     for k, (automaton, last) in enumerate(_automata(benchmark, item_col, item_text_col, window, max_words)):
-        cleaned = _cleaner(docs.sparkSession.sparkContext.broadcast(automaton))
-        out = out.withColumn("__m", cleaned(F.col(text_col))).where(F.col("__m.covered") <= most_covered)
-        cut_short = ~F.col("__m.text").eqNullSafe(F.col(text_col))
-        new = {text_col: F.col("__m.text")} | ({length_col: F.when(cut_short, F.char_length("__m.text").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))} if length_col else {})
-        out = out.withColumns(new).drop("__m")
+        matched = _matcher(docs.sparkSession.sparkContext.broadcast(automaton)).asNondeterministic()  # else the optimizer would copy it into the filter on its result
+        out = out.withColumn("__m", matched(F.col(text_col)))
+        spans = F.col("__m.spans")
+        if k:
+            spans = merged_spans(F.array_sort(F.concat("__spans", spans)))
+        out = out.withColumns({"__words": F.col("__m.n_words"), "__spans": spans}).drop("__m")
         if not last:
             out = work.table(f"after-{k % 2}", out)
-    return out
+    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    out = out.where(n_hit / F.greatest(F.lit(1), "__words") <= most_covered)
+    out = out.withColumn("__new", F.when(F.size("__spans") > 0, _cut_text(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
+    new = {text_col: F.col("__new")}
+    if length_col:
+        cut_short = ~F.col("__new").eqNullSafe(F.col(text_col))
+        new[length_col] = F.when(cut_short, F.char_length("__new").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return out.withColumns(new).select(*(F.col(f"`{c}`") for c in docs.columns))

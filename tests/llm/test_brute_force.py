@@ -168,6 +168,26 @@ def test_pseudonyms_are_bijections(spark):
     assert values.where("p.l not between 0 and 99 or p.r not between 0 and 99").count() == 0
 
 
+def test_cuts_do_not_depend_on_the_number_of_automata(spark):
+    """Items that overlap in a text, words that a cut would bring together, and a document that only all items cover."""
+    from narrata.llm import decontaminate
+
+    items = [(1, "a b c d"), (2, "c d e f"), (3, "x y z"), (4, "g h i"), (5, "p q r")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "1 2 3 4 5 6 7 8 A b, c d e f. 9", "1 2 3 4 5 6 7 8 . 9"),
+        (2, "1 2 3 4 5 6 7 8 x y a b c d z", "1 2 3 4 5 6 7 8 x y  z"),
+        (3, "1 2 3 g h i 4 p q r", None),
+        (4, None, None),
+        (5, "", ""),
+    ]
+    docs = spark.createDataFrame([(i, len(t or ""), t) for i, t, _ in rows], "doc_id long, n_chars long, text string")
+    want = {(i, len(t or ""), t) for i, _, t in rows if i != 3}
+    for most in (1, 10, 20_000_000):
+        got = decontaminate.remove_items(docs, bench, window=3, max_words=most, length_col="n_chars")
+        assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == want
+
+
 def test_edges_give_rows(spark):
     """Nulls, empty and repeated rows, empty tables and clashing columns, for every operator on documents."""
     from narrata.llm import decontaminate, exact, lines, substrings
