@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.llm import decontaminate, exact, mixing, quality, simhash
+from narrata.llm import decontaminate, exact, mixing, quality, similar, simhash
 from narrata.llm.tables import table
 from narrata.plans.storage import Workspace
 
@@ -26,8 +26,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: first by fingerprints, then by 5-word similarity of 0.8 or more."""
+    return similar.keep_one(simhash.keep_one(docs))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
