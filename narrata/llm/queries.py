@@ -14,7 +14,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_pii", "text")
+    key = spark.conf.get("spark.narrata.pii.key", "a key for the test tables")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key).select("doc_id", "n_pii", "text")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def test_pseudonyms(spark):
         (5, "mail ann.b7@example.org, ssn 123-45-6789, born 31/12/1999"),
     ]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string")
-    got = sorted((r.asDict() for r in pii.pseudonymise(docs).collect()), key=lambda r: (r["doc_id"], r["text"] or ""))
+    got = sorted((r.asDict() for r in pii.pseudonymise(docs, "k").collect()), key=lambda r: (r["doc_id"], r["text"] or ""))
     assert [r["n_pii"] for r in got] == [3, 2, 0, 0, 3, 3] and got[2]["text"] is None and got[3]["text"] == "" and got[4] == got[5]
     card = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) ", got[0]["text"])[1]
     assert luhn(card.replace(" ", "")) and card != "4111 1111 1111 1111"
@@ -155,7 +155,7 @@ def test_pseudonyms_of_secrets(spark):
     value = "04dbebab77c1e09f5a2b"
     forms = ['token = "{}"', "token = '{}'", "token = {}", "password:{}", '"api_key": "{}"', "'secret':'{}'"]
     docs = spark.createDataFrame([(i, f"a {f.format(value)}\nb") for i, f in enumerate(forms)] + [(9, f'TOKEN = "{value.upper()}"'), (10, 'token = ""')], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_pii"], r["text"]) for r in pii.pseudonymise(docs).collect()}
+    got = {r["doc_id"]: (r["n_pii"], r["text"]) for r in pii.pseudonymise(docs, "k").collect()}
     new = re.search('token = "(.*)"', got[0][1])[1]
     assert new != value and re.fullmatch("[0-9a-f]{20}", new)
     assert got == {i: (1, f"a {f.format(new)}\nb") for i, f in enumerate(forms)} | {9: (1, f'TOKEN = "{new.upper()}"'), 10: (0, 'token = ""')}
