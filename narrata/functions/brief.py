@@ -71,10 +71,11 @@ def prompt(narrative: Column) -> Column:
     return F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit(fixed.SYSTEM_PROMPT)), ("user", user))))
 
 
-def gold(df: DataFrame, out: str = "gold") -> DataFrame:
+def gold(df: DataFrame, out: str = "gold", given: str | None = None) -> DataFrame:
     """``df`` with the gold brief that the rules read from ``narrative``, ``synopsis`` and the coded fields; null
-    where the synopsis lacks support or the rendered brief would not parse. Evidence columns ``source_*`` stay."""
-    df = supported_synopsis(df, "synopsis", "narrative")
+    where the synopsis lacks support or the rendered brief would not parse. Evidence columns ``source_*`` stay.
+    given: a column of supported synopses where they are known."""
+    df = supported_synopsis(df, "synopsis", "narrative", given=given)
     df = df.withColumns({"__happened": F.array_join("supported", " "), "__outcome": rules.recoverable(F.col("source_parts"))})
     df = fence(df, "__happened", "__outcome")
     df = df.withColumn("__almost", rules.near_miss(F.col("source_parts"), F.col("__happened")))

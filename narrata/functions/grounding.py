@@ -19,12 +19,10 @@ class Source:
     text: Column
     numbers: Column
     tokens: Column
-    classes: Column
 
     @classmethod
     def of(cls, c: Column) -> Source:
-        attested = F.array(*(F.when(text_of(c).rlike(rx(evidence)), name) for name, _, evidence in fixed.EVENT_CLASSES))
-        return cls(text_of(c), F.transform(number_tokens(c), plain_number), upper_tokens(c), F.array_compact(attested))
+        return cls(text_of(c), F.transform(number_tokens(c), plain_number), upper_tokens(c))
 
     def columns(self, prefix: str) -> dict[str, Column]:
         """The parts as named columns, for ``DataFrame.withColumns``; ``named`` finds them again."""
@@ -41,9 +39,17 @@ def with_source(df: DataFrame, narrative: str, prefix: str = "source") -> DataFr
     return fence(df.withColumns(columns), *columns)
 
 
-def claimed_classes(c: Column) -> Column:
-    """Event classes that an output claims, in the order of the pack."""
-    return F.array_compact(F.array(*(F.when(text_of(c).rlike(rx(claim)), name) for name, claim, _ in fixed.EVENT_CLASSES)))
+ANY_CLAIM = "|".join(f"(?:{claim})" for _, claim, _ in fixed.EVENT_CLASSES)
+
+
+def unsupported_classes(source: Source, output: Column) -> Column:
+    """Event classes that an output claims and its source has no evidence for, in the order of the pack.
+
+    The source is searched only for the classes that are claimed, the output class by class only if it claims any.
+    """
+    out = text_of(output)
+    found = F.array_compact(F.array(*(F.when(out.rlike(rx(claim)) & ~source.text.rlike(rx(evidence)), name) for name, claim, evidence in fixed.EVENT_CLASSES)))
+    return F.when(out.rlike(rx(ANY_CLAIM)), found).otherwise(texts([]))
 
 
 def grounding_flags(source: Source, output: Column) -> Column:
@@ -54,7 +60,7 @@ def grounding_flags(source: Source, output: Column) -> Column:
     """
     numbers = F.array_sort(F.filter(number_tokens(output), lambda n: ~F.array_contains(source.numbers, plain_number(n))))
     names = F.array_sort(F.array_except(acronyms(output), source.tokens))
-    events = F.array_except(claimed_classes(output), source.classes)
+    events = unsupported_classes(source, output)
     absent = lambda d: ~F.regexp_like(source.text, F.concat(F.lit("(?<![A-Za-z0-9])"), d["token"], F.lit("(?![A-Za-z0-9])")))
     places = F.array_sort(F.transform(F.filter(designators(output), absent), lambda d: F.concat_ws(" ", d["name"], d["token"])))
     return F.struct(numbers.alias("numbers"), names.alias("acronyms"), events.alias("events"), places.alias("designators"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from narrata.functions.codes import lookup, split_codes
-from narrata.functions.text import WS, any_match, rx, text_of, texts, word_count
+from narrata.functions.text import WS, any_match, let, rx, text_of, texts, word_count
 from narrata.packs import fixed
 
 LEFT, RIGHT = 70, 45
@@ -34,10 +34,15 @@ def unnegated(c: Column, pattern: str) -> Column:
 def recoverable(parts: Column) -> Column:
     """A struct of label and evidence, given sentences: the first completed event (No), else the first intervention
     (Yes), else Unknown and no evidence."""
-    first = lambda pattern: F.get(F.filter(parts, lambda s: unnegated(s, pattern)), F.lit(0))
-    done, saved = first(fixed.COMPLETED), first(fixed.SUCCESS)
-    label = F.when(done.isNotNull(), "No").when(saved.isNotNull(), "Yes").otherwise(fixed.UNKNOWN)
-    return F.struct(label.alias("label"), F.coalesce(done, saved, F.lit("")).alias("evidence"))
+
+    def first(pattern: str) -> Column:
+        return F.get(F.filter(parts, lambda s: unnegated(s, pattern)), F.lit(0))
+
+    def told(label: Column, evidence: Column) -> Column:
+        return F.struct(F.when(evidence.isNull(), fixed.UNKNOWN).otherwise(label).alias("label"), F.coalesce(evidence, F.lit("")).alias("evidence"))
+
+    saved = let(lambda s: told(F.lit("Yes"), s), first(fixed.SUCCESS))
+    return let(lambda done: F.when(done.isNull(), saved).otherwise(told(F.lit("No"), done)), first(fixed.COMPLETED))
 
 
 def near_miss(parts: Column, happened: Column) -> Column:
@@ -61,12 +66,11 @@ def lesson(parts: Column, *exclude: Column) -> Column:
     clean = F.transform(parts, without_labels)
 
     def recommends(s: Column) -> Column:
-        n = word_count(s)
-        fits = (n >= 5) & (n <= 35) & s.rlike(r"""^[A-Z0-9"'\[(]""") & s.endswith(".") & ~s.contains("?")
+        fits = s.endswith(".") & s.rlike(r"""^[A-Z0-9"'\[(]""") & ~s.contains("?")
         for other in exclude:
             fits = fits & (s != other)
-        told = ~s.rlike(rx(fixed.ANAPHORA)) & ~s.rlike(rx(fixed.NOT_A_LESSON))
-        return fits & told & (s.rlike(rx(fixed.LESSON_START)) | s.rlike(rx(fixed.LESSON_MODAL)))
+        # the dearest pattern is tried last, on what passed all others
+        return fits & (s.rlike(rx(fixed.LESSON_START)) | s.rlike(rx(fixed.LESSON_MODAL))) & word_count(s).between(5, 35) & ~s.rlike(rx(fixed.ANAPHORA)) & ~s.rlike(rx(fixed.NOT_A_LESSON))
 
     return F.coalesce(F.get(F.reverse(F.filter(clean, recommends)), F.lit(0)), F.lit(fixed.NO_LESSON))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.functions.grounding import Source, any_flag, grounding_flags, with_source
-from narrata.functions.text import NEVER, content_words, overlap, replace_each, rx, sentences, strip, text_of, texts, word_count
+from narrata.functions.text import content_words, let, overlap, replace_each, rx, sentences, strip, text_of, texts, word_count
 from narrata.packs import fixed
 from narrata.plans.fence import fence
 
@@ -29,12 +29,18 @@ def swap(c: Column, pattern: Column | str, new: str) -> Column:
 
 def generalise_roles(c: Column, narrative: Column) -> Column:
     """Roles that the narrative lacks become the reporter; so do roles it names only as somebody else, where the
-    synopsis lets them report. A pattern that matches nothing stands in for a rule that does not apply."""
-    for role in fixed.ROLES:
-        whole = rx(rf"{ROLE_GROUP}{role}\b")
+    synopsis lets them report."""
+
+    def step(c: Column, role: str) -> Column:
+        whole, reports = rx(rf"{ROLE_GROUP}{role}\b"), r"(?=[^.]{0,40}\breport)"
         absent = ~narrative.rlike(rx(rf"\b{role}\b"))
         other = narrative.rlike(rx(THIRD.format(role))) & ~narrative.rlike(rx(CLAIMED.format(role)))
-        c = swap(c, F.when(absent, whole).when(other, whole + r"(?=[^.]{0,40}\breport)").otherwise(NEVER), "reporter")
+        # the narrative is searched for the roles that are told only
+        told = F.when(absent, swap(c, whole, "reporter")).when(other, swap(c, whole + reports, "reporter")).otherwise(c)
+        return F.when(c.rlike(rx(rf"\b{role}\b")), told).otherwise(c)
+
+    steps = lambda c: reduce(lambda c, role: let(lambda c: step(c, role), c), fixed.ROLES, c)
+    c = let(lambda c: F.when(c.rlike(rx(rf"\b(?:{'|'.join(fixed.ROLES)})\b")), steps(c)).otherwise(c), c)
     c = swap(c, rx(r"\breporter (?:pilot|personnel|crew|controller)\b"), "reporter")
     c = swap(c, rx(rf"\b{fixed.ROLE_MODIFIER}\s+(?=reporter\b)"), "")
     return swap(c, rx(r"\breporter reporter\b"), "reporter")
@@ -51,10 +57,14 @@ def generalise_types(c: Column, narrative: Column) -> Column:
 
 def drop_qualifiers(c: Column, narrative: Column) -> Column:
     """Qualifiers that the narrative lacks go where they stand before an aircraft or its crew."""
-    for word in fixed.QUALIFIERS.split("|"):
-        pattern = rx(rf"\b{word}(?=(?:\s+(?:{fixed.QUALIFIERS}))*\s+(?:{fixed.QUALIFIED})\b)")
-        c = swap(c, F.when(narrative.rlike(rx(rf"\b{word}\b")), NEVER).otherwise(pattern), "")
-    return c
+    before = rf"(?=(?:\s+(?:{fixed.QUALIFIERS}))*\s+(?:{fixed.QUALIFIED})\b)"
+
+    def dropped(c: Column, word: str) -> Column:
+        pattern = rx(rf"\b{word}{before}")
+        return let(lambda c: F.when(c.rlike(pattern) & ~narrative.rlike(rx(rf"\b{word}\b")), swap(c, pattern, "")).otherwise(c), c)
+
+    # one search tells the texts, nearly all, that no word is to be dropped from
+    return let(lambda c: F.when(c.rlike(rx(rf"\b(?:{fixed.QUALIFIERS}){before}")), reduce(dropped, fixed.QUALIFIERS.split("|"), c)).otherwise(c), c)
 
 
 def tidy(c: Column) -> Column:
@@ -67,36 +77,51 @@ def capitalised(c: Column) -> Column:
 
 def cause_ok(s: Column, words: Column, source_words: Column, hedged: Column, hedged_only: Column) -> Column:
     """A stated cause has 0.6 of its words in the narrative, and does not rest on what the narrative only guesses."""
-    cause = content_words(F.regexp_extract(s, rx(rf"(?s){fixed.CAUSAL}(.*)\z"), 1))
-    attested = (F.size(cause) == 0) | (overlap(cause, source_words) >= 0.6)
-    terms = F.when(F.size(cause) > 0, cause).when(s.rlike(rx(fixed.CAUSE_VERB)), words).otherwise(texts([]))
-    return attested & (F.size(F.array_intersect(terms, hedged)) < 2) & ~F.arrays_overlap(words, hedged_only)
 
+    def holds(cause: Column) -> Column:
+        attested = (F.size(cause) == 0) | (overlap(cause, source_words) >= 0.6)
+        terms = F.when(F.size(cause) > 0, cause).when(s.rlike(rx(fixed.CAUSE_VERB)), words).otherwise(texts([]))
+        guessed = (F.size(hedged) > 0) & ((F.size(F.array_intersect(terms, hedged)) >= 2) | F.arrays_overlap(words, hedged_only))
+        return attested & ~guessed
 
-def supported_synopsis(df: DataFrame, synopsis: str, narrative: str, out: str = "supported", prefix: str = "source") -> DataFrame:
+    return let(holds, content_words(F.regexp_extract(s, rx(rf"(?s){fixed.CAUSAL}(.*)\z"), 1)))
+
+
+def supported_synopsis(df: DataFrame, synopsis: str, narrative: str, out: str = "supported", prefix: str = "source", given: str | None = None) -> DataFrame:
     """``df`` with ``out``: the first two sentences of the synopsis, in general terms, that the narrative supports.
 
     Empty where the narrator is unsure, where the first sentence lacks support, or where there is none. The columns
-    of ``Source`` for the narrative are added under ``prefix`` and stay for later use.
+    of ``Source`` for the narrative are added under ``prefix`` and stay for later use. given: a column of results that
+    are known; where it is not null nothing is computed again.
     """
     text, told = text_of(F.col(narrative)), text_of(F.col(synopsis))
+    if given:
+        told = F.when(F.col(given).isNull(), told).otherwise("")
     df = with_source(df.withColumns({f"{prefix}_parts": sentences(text), f"{prefix}_words": content_words(text)}), narrative, prefix)
     df = fence(df, f"{prefix}_parts", f"{prefix}_words")
     source, parts = Source.named(prefix), F.col(f"{prefix}_parts")
-    hedge = lambda keep: F.array_distinct(F.flatten(F.transform(F.filter(parts, lambda s: s.rlike(rx(fixed.HEDGE)) == F.lit(keep)), content_words)))
-    df = df.withColumns({"__hedged": hedge(True), "__plain": hedge(False), "__told": tidy(drop_qualifiers(generalise_types(generalise_roles(told, text), text), text))})
+    told_words = lambda kept: F.array_distinct(F.flatten(F.transform(kept, content_words)))
+    guesses = lambda keep: F.filter(parts, lambda s: s.rlike(rx(fixed.HEDGE)) == F.lit(keep))
     whole_event = rx(f"^(?:{fixed.EVENT_WORDS})$")
-    df = df.withColumns({"__only": F.filter(F.array_except("__hedged", "__plain"), lambda w: w.rlike(whole_event)), "__claims": sentences(F.col("__told"))})
-    df = fence(df, "__hedged", "__only", "__claims")
+    none = F.struct(texts([]).alias("all"), texts([]).alias("only"))
+    split = lambda a, b: F.struct(a.alias("all"), F.filter(F.array_except(a, b), lambda w: w.rlike(whole_event)).alias("only"))
+    # narratives that guess nowhere, nearly all, are not searched sentence by sentence
+    df = df.withColumn("__hedged", F.when(text.rlike(rx(fixed.HEDGE)), let(split, told_words(guesses(True)), told_words(guesses(False)))).otherwise(none))
+    df = df.withColumn("__told", generalise_types(generalise_roles(told, text), text))
+    df = fence(df, "__hedged", "__told")
+    df = fence(df.withColumn("__claims", sentences(tidy(drop_qualifiers(F.col("__told"), text)))), "__claims")
 
     def holds(s: Column) -> Column:
-        words = content_words(s)
+        def attested(words: Column) -> Column:
+            near = overlap(words, F.col(f"{prefix}_words")) >= 0.5
+            return near & cause_ok(s, words, F.col(f"{prefix}_words"), F.col("__hedged.all"), F.col("__hedged.only"))
+
         event = s.rlike(rx(fixed.EVENT_WORDS)) & ~s.rlike(rx(fixed.HYPOTHETICAL)) & ~s.endswith("?") & (word_count(s) <= 65)
-        fits = event & (overlap(words, F.col(f"{prefix}_words")) >= 0.5) & cause_ok(s, words, F.col(f"{prefix}_words"), F.col("__hedged"), F.col("__only"))
-        return F.when(fits, ~any_flag(grounding_flags(source, s))).otherwise(F.lit(False))
+        return F.when(event & let(attested, content_words(s)), ~any_flag(grounding_flags(source, s))).otherwise(F.lit(False))
 
     high = reduce(Column.__or__, (F.lower(told).contains(p) & ~F.lower(text).contains(p) for p in fixed.AIRPORT_PHRASES))
     df = df.withColumn("__ok", F.when(text.rlike(rx(fixed.UNSURE)) | high, F.lit(None)).otherwise(F.transform("__claims", lambda s: F.struct(s.alias("s"), holds(s).alias("ok")))))
     kept = F.slice(F.transform(F.filter("__ok", lambda x: x["ok"]), lambda x: capitalised(x["s"])), 1, 2)
-    df = df.withColumn(out, F.when(F.coalesce(F.get("__ok", F.lit(0))["ok"], F.lit(False)), kept).otherwise(texts([])))
-    return fence(df.drop("__hedged", "__plain", "__told", "__only", "__claims", "__ok"), out)
+    found = F.when(F.coalesce(F.get("__ok", F.lit(0))["ok"], F.lit(False)), kept).otherwise(texts([]))
+    df = df.withColumn(out, F.coalesce(F.col(given), found) if given else found)
+    return fence(df.drop("__hedged", "__told", "__claims", "__ok"), out)

@@ -19,8 +19,6 @@ NOT_WS = WS.replace("[", "[^", 1)
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
 #: Code points that are no characters and stand in no text; were the first in one, it would become the second.
 MARK, OTHER = "\ufdd0", "\ufdd1"
-#: A pattern that matches nothing.
-NEVER = "(?!)"
 
 
 def rx(pattern: str, cased: bool = False) -> str:
@@ -28,6 +26,14 @@ def rx(pattern: str, cased: bool = False) -> str:
     return ("(?U)" if cased else "(?iU)") + pattern
 
 
+def let(use: Callable[..., Column], *values: Column) -> Column:
+    """``use(*values)`` with each value written, and evaluated, once."""
+    if len(values) == 1:
+        return F.transform(F.array(values[0]), use)[0]
+    names = [f"v{i}" for i in range(len(values))]
+    return F.transform(F.array(F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True)))), lambda s: use(*(s[n] for n in names)))[0]
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -50,7 +56,7 @@ def sentences(c: Column) -> Column:
     """
     guards = "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')})" for a in fixed.ABBREVIATIONS)
     spaced = F.regexp_replace(text_of(c), r"(?<=[a-z0-9%)])\.(?=[A-Z])", ". ")
-    broken = F.regexp_replace(spaced, rf"""(?iu){guards}(?<=[.!?]){WS}+(?=[A-Z\["'])""", "\n")
+    broken = F.regexp_replace(spaced, rf"""(?iu)(?<=[.!?]){guards}{WS}+(?=[A-Z\["'])""", "\n")
     return F.filter(F.transform(F.split(broken, "\n"), strip), lambda s: s != "")
 
 

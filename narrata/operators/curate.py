@@ -46,17 +46,23 @@ def curate(reports: DataFrame, pos: str = "pos", narrative_chars: int = 6000, ma
     """All reports with the gold brief and ``drop_reason`` (null: eligible), ``truncated``, flags and metadata.
 
     ``reports`` has the short names of ``report_fields`` and ``pos``, the file order, without ties. Lengths are code
-    points. The synopsis is checked against the whole narrative, then the brief is read from the truncated one.
+    points. The synopsis is checked against the whole narrative, then the brief is read from the truncated one. Rows
+    are read no further than to the rule that drops them; what later rules would find in them is left empty.
     """
     df = cheap_reasons(reports, pos, least)
     df = df.withColumns({"narrative_sha256": normal_hash(F.col("narrative")), "related_ids": related_ids(F.col("related_id"))})
-    whole = briefs.supported_synopsis(df, "synopsis", "narrative", out="__whole", prefix="__w")
-    whole = whole.drop(*(c for c in whole.columns if c.startswith("__w_")))
+    live = lambda c: F.when(F.col("drop_reason").isNull(), F.col(c))
+    whole = briefs.supported_synopsis(df.withColumns({"__live_narrative": live("narrative"), "__live_synopsis": live("synopsis")}), "__live_synopsis", "__live_narrative", out="__whole", prefix="__w")
+    whole = whole.drop("__live_narrative", "__live_synopsis", *(c for c in whole.columns if c.startswith("__w_")))
     cut = truncate(F.col("narrative"), narrative_chars)
     no = F.col("drop_reason").isNull() & (F.size("__whole") == 0)
     df = whole.withColumns({"drop_reason": F.when(no, "drop_unsupported_synopsis").otherwise(F.col("drop_reason")), "__cut": cut})
-    df = df.withColumns({"truncated": F.col("drop_reason").isNull() & F.col("__cut.truncated"), "narrative": F.col("__cut.text")}).drop("__cut", "__whole")
-    df = briefs.gold(fence(df, "drop_reason", "truncated", "narrative"))
+    df = df.withColumns({"truncated": F.col("drop_reason").isNull() & F.col("__cut.truncated"), "__narrative": F.col("__cut.text"), "__synopsis": F.col("synopsis")}).drop("__cut")
+    df = fence(df, "drop_reason", "truncated", "__narrative")
+    # what was not cut has been checked already
+    known = F.when(F.col("drop_reason").isNotNull(), F.array().cast("array<string>")).when(~F.col("truncated"), F.col("__whole"))
+    df = df.withColumns({"__whole": known, "narrative": live("__narrative"), "synopsis": live("synopsis")})
+    df = briefs.gold(df, given="__whole").withColumns({"narrative": F.col("__narrative"), "synopsis": F.col("__synopsis")}).drop("__narrative", "__synopsis", "__whole")
     df = df.withColumn("flags", grounding_flags(Source.named("source"), F.col("gold_text")))
     messages = F.concat(briefs.prompt(F.col("narrative")), F.array(F.struct(F.lit("assistant").alias("role"), F.col("gold_text").alias("content"))))
     df = fence(df.withColumn("messages", messages), "flags", "messages")

@@ -18,8 +18,10 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one, set on the session, only where none is named."""
+    """The shared folder the session names; on one machine, where none is named, a temporary one, set on the session."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"Set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="narrata-")
         spark.conf.set(CHECKPOINT_DIR, found)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narrata.plans.spread import spread
 from narrata.queries import table
 
 INPUT = ("narrative", "synopsis", "phase", "factor", "contributors", "human_factors", "reporter_function")
@@ -120,7 +121,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 97 == 0, " ").when(e % 10 == 9, (e - 1).cast("string")).otherwise(e.cast("string")).alias("report_id"),
         F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("See "), (F.col("user_id") + 100000).cast("string"), F.lit(" and 12345 or "), (F.col("user_id") + 99990000).cast("string"))).alias("related_id"),
     )
-    df = events.join(F.broadcast(rows), "k")  # twelve rows
+    df = spread(events).join(F.broadcast(rows), "k")  # a row for each template
     return df.withColumn("narrative", F.replace("narrative", F.lit("@@"), F.col("pos").cast("string")))
 
 

@@ -10,6 +10,15 @@ def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
+#: Cases that only larger tables have.
+LARGER = ("grounding_numbers", "unsupported_classes", "split_leaks")
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_query_of_more_rows(spark, name):
+    test_query(spark, "/root/testdata/sf0.01", name)
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, sf, name):
     columns, rows = of_spark(registry.QUERIES[name](spark, sf))
