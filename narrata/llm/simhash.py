@@ -7,7 +7,8 @@ pre-aggregation. Inside a group the fingerprints are sorted by Gray rank and ind
 that all their members share, children add only the bits their parent did not have. A pair of nodes is followed
 with the differences accumulated so far: beyond the limit the whole pair is pruned, and where even the open bits
 cannot exceed it the two nodes are joined without looking at members, so a dense group of near copies costs a
-walk over nodes and yields one link per member, never all pairs.
+walk over nodes and yields one link per member, never all pairs. The index works within these groups; its nodes cut
+the Gray order at midpoints. A group with more members than a task should hold is cut into pairs of shares.
 """
 
 from __future__ import annotations
@@ -182,22 +183,43 @@ def _group_links(codes: np.ndarray, reps: np.ndarray, max_bits: int) -> list[tup
     return [(h, r) for h, r in zip(heads.tolist(), reps.tolist(), strict=True) if h != r]
 
 
-def fingerprint_links(reps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """(src, dst): links that connect the same fingerprints as all pairs at most ``max_bits`` apart would.
+def _dealt(reps: DataFrame, max_bits: int, most_members: int) -> DataFrame:
+    """(t, key, part, fp, rep): every fingerprint in each of its groups.
 
-    reps: distinct (fp long, rep long), rep naming the fingerprint.
+    A group of more than ``most_members`` is cut by a hash into shares of half that size, and each pair of shares, and
+    each share with itself, is a part of its own: all pairs of members meet in some part, and no part outgrows a task.
     """
-    groups = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(block_masks(max_bits)))))
+    masks = block_masks(max_bits)
+    groups = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks))))
     dealt = reps.select("fp", "rep", groups.alias("g")).select("g.t", "g.key", "fp", "rep")
-    dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key")
+    total = reps.count()
+    if total <= most_members:
+        return dealt.select("t", "key", F.lit(0).cast("long").alias("part"), "fp", "rep")
+    # sums over bins of groups tell where a crowded group can be; there are at most len(masks) * total / most_members
+    bins = F.pmod(F.xxhash64("t", "key"), F.lit(max(1 << 16, 4 * len(masks) * total // most_members)))
+    full = dealt.groupBy(bins.alias("bin")).count().where(F.col("count") > most_members).select("bin")
+    crowded = dealt.withColumn("bin", bins).join(F.broadcast(full), "bin", "left_semi").groupBy("t", "key").agg(F.ceil(F.count("*") / (most_members / 2)).alias("k"), F.count("*").alias("n")).where(F.col("n") > most_members)
+    shares = dealt.join(F.broadcast(crowded.select("t", "key", "k")), ["t", "key"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    own = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("k"))
+    each = shares.select("t", "key", "fp", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    return each.select("t", "key", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("part"), "fp", "rep")
+
+
+def fingerprint_links(reps: DataFrame, max_bits: int = 4, most_members: int = 1 << 20) -> DataFrame:
+    """(src, dst): links that connect the same fingerprints as all pairs at most ``max_bits`` apart would.
+
+    reps: distinct (fp long, rep long), rep naming the fingerprint. most_members: fingerprints that one index holds.
+    """
+    group = ["t", "key", "part"]
+    dealt = _dealt(reps, max_bits, most_members).repartition(*group).sortWithinPartitions(*group)
 
     def links(batches):
         held: list[pd.DataFrame] = []  # the rows of the group that the last batch ended in
 
         def judged(rows: pd.DataFrame) -> pd.DataFrame:
-            t, key, fp, rep = (rows[c].to_numpy() for c in ("t", "key", "fp", "rep"))
+            t, key, part, fp, rep = (rows[c].to_numpy() for c in (*group, "fp", "rep"))
             codes, out = fp.view(np.uint64), []
-            at = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]), True])
+            at = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1]), True])
             size = np.diff(at)
             two = at[:-1][size == 2]
             near = two[np.bitwise_count(codes[two] ^ codes[two + 1]) <= max_bits]
@@ -209,11 +231,11 @@ def fingerprint_links(reps: DataFrame, max_bits: int = 4) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            if held and tuple(held[-1].iloc[-1][["t", "key"]]) == tuple(batch.iloc[-1][["t", "key"]]):
+            if held and held[-1][group].iloc[-1].equals(batch[group].iloc[-1]):
                 held.append(batch)  # one group spans the batches
                 continue
             rows = pd.concat([*held, batch]) if held else batch
-            last = (rows["t"] == rows["t"].iloc[-1]) & (rows["key"] == rows["key"].iloc[-1])
+            last = (rows[group] == rows[group].iloc[-1]).all(axis=1)
             held = [rows[last]]
             yield judged(rows[~last]) if (~last).any() else pd.DataFrame({"src": [], "dst": []}, dtype="int64")
         if held:

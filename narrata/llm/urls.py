@@ -10,6 +10,7 @@ which every URL has. URLs are judged once each, however many pages have them.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,13 +50,13 @@ def rule_tokens(host: str, path: str) -> list[str]:
 
 
 def rule_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...], rank: int) -> DataFrame:
-    """(rule, verdict, host, path_pattern, tokens, rank) as rows made in the JVM."""
+    """(rule, verdict, rule_host, pattern, tokens, rank): the rules as rows, read from one JSON text in the JVM."""
     rows = []
     for verdict, host, path in rules:
-        pattern = "^" + ".*".join("\\Q" + part + "\\E" if part else "" for part in path.split("*"))
-        tags = rule_tokens(host, path) or [""]
-        rows.append(F.struct(F.lit(host + path).alias("rule"), F.lit(verdict).alias("verdict"), F.lit(host.lower()).alias("rule_host"), F.lit("(?s)" + pattern).alias("pattern"), F.array(*map(F.lit, tags)).alias("tokens"), F.lit(rank).alias("rank")))
-    return spark.range(1).select(F.inline(F.array(*rows)))
+        pattern = "(?s)^" + ".*".join("\\Q" + part + "\\E" if part else "" for part in path.split("*"))
+        rows.append({"rule": host + path, "verdict": verdict, "rule_host": host.lower(), "pattern": pattern, "tokens": rule_tokens(host, path) or [""], "rank": rank})
+    schema = "array<struct<rule: string, verdict: string, rule_host: string, pattern: string, tokens: array<string>, rank: int>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, patterns=PATTERNS) -> DataFrame:
@@ -63,7 +64,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     Of the rules that fit, the longest wins (host and path together; equally long ones: the greatest as text); it
     outranks every pattern. What nothing fits is allowed. Null URLs and such without ``://`` have empty host and
-    path and are judged by those. Repeated rows give a row each; other columns are not read.
+    path and are judged by those; URLs of any length are read whole. Repeated rows give a row each; other columns are not
+    read, whatever their names. An empty table gives no rows.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
