@@ -2,19 +2,24 @@
 
 A window is so many consecutive words. Its fingerprint is the smallest hash of its 4-word grams: equal windows have
 equal fingerprints, while neighbouring windows mostly share one, so a text has about a fifth as many fingerprints
-as windows. Each batch of documents adds one immutable run of (fingerprint, id) rows, sorted by fingerprint. The
-runs are merge-joined: fingerprints that occur in two documents, one of them new, are hits. A hit is verified on
-the texts: the documents that have it are read again and their windows under it compared by a 128-bit digest of
-the words. What was verified
-is kept as runs of window digests, each with the first document that has it, so an old document is read again only
-when a fingerprint that was its alone is met for the first time. Runs are compacted when there are many.
-
-A fingerprint that a third of all documents share is counted with partial sums and joined by Spark's skew-splitting
-sort-merge join; its windows meet only in a count and a minimum by window, never pair by pair.
+as windows. Each batch of documents adds one immutable run: a row for each fingerprint, how many documents have it and
+which is the first, bucketed and sorted by fingerprint. A run is made by an aggregation that combines before it
+shuffles, so a fingerprint that a third of all documents share is one row of it.
+
+A new run is merge-joined with the historical ones, all bucketed alike, so neither side is shuffled or held in memory.
+Fingerprints that two documents have, one of them new, are hits. A hit is verified on the texts: the documents that have
+it are read again and their windows under it compared by a 128-bit digest of the words. What was verified is kept as runs
+of window digests, each with the first document that has it, so an old document is read again only when a fingerprint
+that was its alone is met for the first time; that document is named in its run. Runs are compacted when there are many.
+Windows meet only in a count and a minimum, never pair by pair; very frequent ones are joined by a bounded broadcast.
+
+The index is a folder: a manifest names its runs, and :meth:`FingerprintIndex.reopen` goes on from there.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,9 +29,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.plans.storage import Workspace
+from narrata.operators.skew import join_counted
+from narrata.plans.storage import Workspace, fresh_path, freed_shuffles, session_settings
+from narrata.sources.files import write_object
 
 GRAM = 4
+#: Buckets of one sorted file each need no sort before a merge. A union of bucketed tables must not pass for bucketed
+#: itself: grouping it without a shuffle, as Spark 4.1 then does, has been seen to miss windows that two runs share.
+SORTED_BUCKETS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.unionOutputPartitioning": "false"}
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,15 +73,15 @@ def window_digests(words: list[bytes], starts: np.ndarray, window: int) -> np.nd
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def _sorted_run(docs: DataFrame, window: int) -> DataFrame:
-    """(id, fp) of every document, each fingerprint once, sorted by fingerprint within tasks."""
+def _pairs(docs: DataFrame, window: int) -> DataFrame:
+    """(id, fp) of every document, each fingerprint once."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             each = [np.unique(fingerprints(words_of(t), window)) for t in batch["text"]]
             yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), [len(x) for x in each]), "fp": np.concatenate([*each, np.zeros(0, np.int64)])})
 
-    return docs.mapInPandas(found, "id long, fp long").sortWithinPartitions("fp", "id")
+    return docs.mapInPandas(found, "id long, fp long")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -111,83 +125,140 @@ def _kept(text: Column, gone: Column, window: int) -> Column:
 
 
 class FingerprintIndex:
-    """Runs of fingerprints of the documents seen so far; ``add`` takes the next batch.
+    """Runs of fingerprints of the documents seen so far, in a folder; ``add`` takes the next batch.
 
     Ids grow from batch to batch, as arrival numbers do; a batch that breaks this raises ValueError. The documents
     of earlier batches must stay readable, for hits are verified on their texts.
     """
 
-    def __init__(self, spark: SparkSession, window: int = 13, most_runs: int = 4) -> None:
-        self.work, self.window, self.most_runs = Workspace(spark, "substrings"), window, most_runs
-        self.runs: dict[str, DataFrame] = {}  # (id, fp), sorted by fp
-        self.windows: dict[str, DataFrame] = {}  # (w1, w2, first, last) of the windows verified so far
+    def __init__(self, spark: SparkSession, window: int = 13, most_runs: int = 4, folder: str | None = None) -> None:
+        self.spark, self.window, self.most_runs = spark, window, most_runs
+        self.folder = folder or fresh_path(spark, "substrings-index")
+        self.work = Workspace(spark, "substrings")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[str] = []  # of (fp, n, first, last)
+        self.windows: list[str] = []  # of (w1, w2, first, last, n): the windows verified so far
         self.seen: list[DataFrame] = []
         self.largest: int | None = None
         self.n = 0
 
+    @classmethod
+    def reopen(cls, spark: SparkSession, folder: str, history: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> FingerprintIndex:
+        """The index in ``folder`` as its last ``add`` left it. history: the documents added so far."""
+        state = json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])
+        index = cls(spark, state["window"], state["most_runs"], folder)
+        for name in ("runs", "windows", "largest", "n", "buckets"):
+            setattr(index, name, state[name])
+        index.seen.append(_narrow(history, id_col, text_col))
+        return index
+
+    def _written(self, name: str, rows: DataFrame, *keys: str) -> str:
+        """A run: ``rows`` bucketed and sorted by ``keys``, a file for each bucket."""
+        path, table = f"{self.folder}/{name}", f"narrata_{uuid.uuid4().hex}"
+        with freed_shuffles(self.spark):
+            rows.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+        self.spark.sql(f"drop table {table}")  # the files stay
+        return name
+
+    def _run(self, name: str, columns: str, *keys: str) -> DataFrame:
+        """A run that is in the folder, as a table whose buckets Spark knows."""
+        table = f"narrata_{uuid.uuid4().hex}"
+        by = ", ".join(keys)
+        self.spark.sql(f"create table {table} ({columns}) using parquet clustered by ({by}) sorted by ({by}) into {self.buckets} buckets location '{self.folder}/{name}'")
+        return self.spark.table(table)
+
+    def _prints(self, name: str) -> DataFrame:
+        return self._run(name, "fp bigint, n bigint, first bigint", "fp")
+
+    def _verified(self, name: str) -> DataFrame:
+        return self._run(name, "w1 bigint, w2 bigint, n bigint, first bigint, last bigint", "w1", "w2")
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Index a batch. Returns the columns of ``docs`` with the kept words as text, and n_words and n_removed.
 
         A word goes if it is covered by a window whose words also stand in a row with a smaller id, of this or an
         earlier batch. Windows are judged on the input, not on what is left. Null texts stay null and have no
         words; rows with a null id stay whole and count for nothing; rows that share an id are one document.
+        Columns named n_words or n_removed are replaced.
         """
+        with session_settings(self.spark, SORTED_BUCKETS):
+            return self._add(docs, id_col, text_col)
+
+    def _add(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        work, rows = self.work, _narrow(docs, id_col, text_col)
         self.n += 1
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-        new = self.work.table(f"run-{self.n}", _sorted_run(rows, self.window))
-        least, most = new.agg(F.min("id"), F.max("id")).first()
+        pairs = work.table("pairs", _pairs(rows, self.window))
+        least, most = rows.agg(F.min("id"), F.max("id")).first()
         if least is not None and self.largest is not None and least <= self.largest:
             raise ValueError(f"id {least} comes after {self.largest}")
         before, self.largest = self.largest, self.largest if most is None else most
-        self.seen.append(rows)
-
-        # merge: fingerprints of two documents at least, one of them new; of old documents only those whose
-        # fingerprint was alone so far, the windows under the others are in a run already
-        old = [r.withColumn("new", F.lit(0)) for r in self.runs.values()]
-        merged = reduce(DataFrame.unionByName, [*old, new.withColumn("new", F.lit(1))])
-        hits = merged.groupBy("fp").agg(F.sum("new").alias("fresh"), F.count("*").alias("n")).where("n > 1 and fresh > 0")
-        wanted = merged.join(hits.select("fp", (F.col("n") - F.col("fresh")).alias("before")).hint("shuffle_hash"), "fp").where("new = 1 or before = 1")
-        self.runs[f"run-{self.n}"] = new
-        lists = self.work.table("hits", wanted.groupBy("id").agg(F.collect_set("fp").alias("fps")))
+        new = self._written(f"run-{self.n}", pairs.distinct().groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("first")), "fp")
+
+        # merge: fingerprints of two documents at least, one of them new
+        met = self._prints(new).select("fp", F.col("n").alias("n"), F.lit(0).cast("long").alias("old"), F.lit(None).cast("long").alias("alone"))
+        for name in self.runs:
+            run = self._prints(name).select("fp", F.col("n").alias("__n"), F.col("first").alias("__first"))
+            old = F.col("old") + F.coalesce("__n", F.lit(0))
+            met = met.join(run.hint("merge"), "fp", "left").select("fp", "n", old.alias("old"), F.coalesce("alone", "__first").alias("alone"))
+        hits = work.table("hits", met.where("n + old > 1"))
+        fresh = join_counted(pairs, hits.select("fp", "n"), "fp", pairs.count(), how="left_semi")
+        lists = work.table("lists", fresh.groupBy("id").agg(F.collect_set("fp").alias("fps")))
+        # of old documents only those that had a fingerprint alone; windows under the others are verified already
+        again = work.table("again", hits.where("old = 1").groupBy(F.col("alone").alias("id")).agg(F.collect_set("fp").alias("fps")))
+        work.drop("pairs", "hits")
+        self.runs.append(new)
 
         # verify on the texts; the first document of each window keeps it
-        texts = reduce(DataFrame.unionByName, self.seen)
-        same = self.work.table("windows", _windows(texts.join(lists.hint("shuffle_hash"), "id"), self.window))
-        self.work.drop("hits")
-        label = f"windows-{self.n}"
-        self.windows[label] = self.work.table(label, same.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")))
-        first = reduce(DataFrame.unionByName, self.windows.values())
-        if len(self.windows) > 1:
-            first = first.groupBy("w1", "w2").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        first = self.work.table("first", first.where("last > first").select("w1", "w2", "first"))
-        fresh = same if before is None else same.where(F.col("id") > before)
-        later = fresh.join(first.hint("shuffle_hash"), ["w1", "w2"]).where("id > first").groupBy("id").agg(F.collect_set("w1").alias("gone"))
-        gone = self.work.table(f"gone-{self.n}", later)
-        self.work.drop("windows", "first")
+        wanted = rows.join(lists.hint("merge"), "id")
+        if self.seen and not again.isEmpty():
+            history = reduce(DataFrame.unionByName, self.seen)
+            few = again.select("id", F.lit(1).alias("n"))
+            wanted = wanted.unionByName(join_counted(history, few, "id", history.count(), how="left_semi").join(again.hint("merge"), "id"))
+        self.seen.append(rows)
+        same = work.table("windows", _windows(wanted, self.window))
+        work.drop("lists", "again")
+        counted = same.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+        self.windows.append(self._written(f"windows-{self.n}", counted, "w1", "w2"))
+        first = work.table("first", self._all_windows().where("last > first").select("w1", "w2", "first", "n"))
+        later = same if before is None else same.where(F.col("id") > before)
+        later = join_counted(later, first, ["w1", "w2"], same.count()).where("id > first").groupBy("id").agg(F.collect_set("w1").alias("gone"))
+        gone = work.table(f"gone-{self.n}", later)
+        work.drop("windows", "first")
         if len(self.runs) > self.most_runs:
             self.compact()
+        self._save()
 
-        cut = gone.select(F.col("id").alias("__id"), F.col("gone").alias("__gone")).hint("shuffle_hash")
-        joined = docs.join(cut, docs[id_col] == cut["__id"], "left").withColumn("__cut", _kept(F.col(text_col), F.col("__gone"), self.window))
-        return joined.select(*(F.col("__cut.kept").alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns), "__cut.n_words", "__cut.n_removed")
+        cut = gone.select(F.col("id").alias("__id"), F.col("gone").alias("__gone")).hint("merge")
+        text = F.col(f"`{text_col}`")
+        joined = docs.join(cut, docs[f"`{id_col}`"] == cut["__id"], "left").withColumn("__cut", _kept(text, F.col("__gone"), self.window))
+        kept = [F.col("__cut.kept").alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns if c not in ("n_words", "n_removed")]
+        return joined.select(*kept, "__cut.n_words", "__cut.n_removed")
+
+    def _all_windows(self) -> DataFrame:
+        runs = [self._verified(name) for name in self.windows]
+        merged = reduce(DataFrame.unionByName, runs)
+        return merged.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")) if len(runs) > 1 else merged
 
     def compact(self) -> None:
-        """Merge all runs of fingerprints into one, and all runs of windows."""
-        merged = reduce(DataFrame.unionByName, self.runs.values()).repartitionByRange("fp", "id").sortWithinPartitions("fp", "id")
-        self.runs = self._replaced(self.runs, f"run-{self.n}-compacted", merged)
-        first = reduce(DataFrame.unionByName, self.windows.values()).groupBy("w1", "w2").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        self.windows = self._replaced(self.windows, f"windows-{self.n}-compacted", first)
-
-    def _replaced(self, old: dict[str, DataFrame], label: str, merged: DataFrame) -> dict[str, DataFrame]:
-        new = {label: self.work.table(label, merged)}
+        """Merge all runs of fingerprints into one, and all runs of windows. The old runs go when the new ones are whole."""
+        merged = reduce(DataFrame.unionByName, map(self._prints, self.runs)).groupBy("fp").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        old = [*self.runs, *self.windows]
+        runs, windows = self._written(f"run-{self.n}-compacted", merged, "fp"), self._written(f"windows-{self.n}-compacted", self._all_windows(), "w1", "w2")
+        self.runs, self.windows = [runs], [windows]
+        self._save()
+        self.work.paths |= {name: f"{self.folder}/{name}" for name in old}
         self.work.drop(*old)
-        return new
+
+    def _save(self) -> None:
+        state = {k: getattr(self, k) for k in ("runs", "windows", "largest", "n", "buckets", "window", "most_runs")}
+        write_object(self.spark, f"{self.folder}/manifest.json", state)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, batches: int = 2) -> DataFrame:
     """One pass over a table: :class:`FingerprintIndex` fed in ``batches`` ranges of ids, equal in rows or nearly so.
 
-    An empty table gives no rows.
+    Null, empty and very long texts, repeated rows and clashing columns are as :meth:`FingerprintIndex.add` says. An empty
+    table gives no rows.
     """
     index, key = FingerprintIndex(docs.sparkSession, window), F.col(id_col)
     cuts = docs.agg(F.percentile_approx(key, [(k + 1) / batches for k in range(batches - 1)], 1000)).first()[0] if batches > 1 else []
