@@ -144,26 +144,3 @@ def test_substrings_in_many_batches(spark):
     index.add(frame.where("doc_id < 60"))
     with pytest.raises(ValueError):
         index.add(frame.where(F.col("doc_id") == 3))
-
-
-def test_index_is_compacted_and_reopened(spark):
-    """Four batches: one run is left after the second and after the fourth; the index goes on from its folder."""
-    import random
-
-    rng = random.Random(4)
-    docs = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 16)))) for i in range(160)]
-    docs += [(160, None), (161, ""), (162, "long " * 300_000 + docs[0][1])]
-    frame = spark.createDataFrame([(i, t, "z") for i, t in docs], "doc_id long, text string, n_words string").withColumns({c: F.lit("q") for c in ("id", "fp", "fps", "n", "first", "w1", "gone")})
-    index, got, folder = substrings.FingerprintIndex(spark, 5, most_runs=1), {}, None
-    for low, high in ((0, 40), (40, 80), (80, 120), (120, 200)):
-        if folder:
-            index = substrings.FingerprintIndex.reopen(spark, folder, frame.where(f"doc_id < {low}"))
-        out = index.add(frame.where(f"doc_id >= {low} and doc_id < {high}"))
-        assert out.columns == [c for c in frame.columns if c != "n_words"] + ["n_words", "n_removed"]
-        got |= {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"] or "") for r in out.collect()}
-        assert len(index.runs) == len(index.windows) == 1 and (low == 0 or "compacted" in index.runs[0])
-        folder = index.folder
-    assert got == plain_cut(docs, 5)
-    shown = index._prints(index.runs[0]).join(index._prints(index.runs[0]).select("fp").hint("merge"), "fp")
-    plan = shown._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan
