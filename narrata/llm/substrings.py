@@ -3,14 +3,15 @@
 A window is so many consecutive words. Its fingerprint is the smallest hash of its 4-word grams: equal windows have
 equal fingerprints, while neighbouring windows mostly share one, so a text has about a fifth as many fingerprints
 as windows. Each batch of documents adds one immutable run of (fingerprint, id) rows, sorted by fingerprint. The
-runs are merge-joined: fingerprints that occur in two documents, one of them new, are hits. A hit is verified on
+runs are met with it by a count over all of them: fingerprints that occur in two documents, one of them new, are hits. A hit is verified on
 the texts: the documents that have it are read again and their windows under it compared by a 128-bit digest of
 the words. What was verified
 is kept as runs of window digests, each with the first document that has it, so an old document is read again only
 when a fingerprint that was its alone is met for the first time. Runs are compacted when there are many.
 
-A fingerprint that a third of all documents share is counted with partial sums and joined by Spark's skew-splitting
-sort-merge join; its windows meet only in a count and a minimum by window, never pair by pair.
+A fingerprint that a third of all documents share is counted with partial sums, and its windows meet only in a count
+and a minimum by window, never pair by pair. Joins are shuffled hash joins, whose sides adaptive execution splits where
+they are skewed. A merge-join of bucketed sorted runs was tried and was far slower on small executors; see the README.
 """
 
 from __future__ import annotations
@@ -131,6 +132,7 @@ class FingerprintIndex:
         A word goes if it is covered by a window whose words also stand in a row with a smaller id, of this or an
         earlier batch. Windows are judged on the input, not on what is left. Null texts stay null and have no
         words; rows with a null id stay whole and count for nothing; rows that share an id are one document.
+        Texts of any length are read whole; columns named n_words or n_removed are replaced.
         """
         self.n += 1
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
@@ -169,7 +171,7 @@ class FingerprintIndex:
 
         cut = gone.select(F.col("id").alias("__id"), F.col("gone").alias("__gone")).hint("shuffle_hash")
         joined = docs.join(cut, docs[id_col] == cut["__id"], "left").withColumn("__cut", _kept(F.col(text_col), F.col("__gone"), self.window))
-        return joined.select(*(F.col("__cut.kept").alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns), "__cut.n_words", "__cut.n_removed")
+        return joined.select(*(F.col("__cut.kept").alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns if c not in ("n_words", "n_removed")), "__cut.n_words", "__cut.n_removed")
 
     def compact(self) -> None:
         """Merge all runs of fingerprints into one, and all runs of windows."""

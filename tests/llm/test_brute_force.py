@@ -202,9 +202,8 @@ def test_edges_give_rows(spark):
         assert mixing.mix_plan(frame).count() == n
         assert exact.exact_duplicates(frame).count() == n
         assert decontaminate.match_items(frame, bench).count() == n
-        plain = frame.drop("n_words")
-        assert len(of_spark(substrings.dedup_substrings(plain, window=3))[1]) == n
-        assert len(of_spark(lines.dedup_lines(plain))[1]) == n
+        assert len(of_spark(substrings.dedup_substrings(frame, window=3))[1]) == n
+        assert len(of_spark(lines.dedup_lines(frame))[1]) == n
     hit = {r["doc_id"]: r["n_hit"] for r in decontaminate.hit_counts(decontaminate.match_items(docs, bench)).collect()}
     assert hit == {1: 3, 2: 0, 3: 0, None: 0, 7: 0}
     assert set(simhash.keep_one(docs).columns) == set(docs.columns) == set(exact.keep_one(docs).columns)
