@@ -11,7 +11,7 @@ when a fingerprint that was its alone is met for the first time. Runs are compac
 
 A fingerprint that a third of all documents share is counted with partial sums, and its windows meet only in a count
 and a minimum by window, never pair by pair. Joins are shuffled hash joins, whose sides adaptive execution splits where
-they are skewed. A merge-join of bucketed sorted runs was tried and was far slower on small executors; see the README.
+they are skewed. A merge-join of bucketed sorted runs was tried and not measured to the end; see the README.
 """
 
 from __future__ import annotations
