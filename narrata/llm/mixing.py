@@ -123,7 +123,7 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = 250_000, seed: int = 1) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, taken, copies, shards (one for each copy), mix_key.
+    """One row per row of ``docs``: id, size, source_size, target, taken, copies, shards (one for each copy), mix_key, mix_source.
 
     size counts words (null text: 0). Each source's taken words come as near its target as its documents' sizes
     allow; no document is taken more than three times; the same rows and seed give the same plan. A null source is
@@ -173,20 +173,32 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     counted = part.select(*full.columns, "copies").unionByName(full.where("part is null").withColumn("copies", F.col("whole")))
     return counted.select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies",
-        F.slice(F.coalesce("shards", F.array().cast("array<long>")), F.lit(1), F.greatest("copies", F.lit(0))).alias("shards"), F.col("key").alias("mix_key"),
+        F.slice(F.coalesce("shards", F.array().cast("array<long>")), F.lit(1), F.greatest("copies", F.lit(0))).alias("shards"), F.col("key").alias("mix_key"), F.col("source").alias("mix_source"),
     )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, **options) -> DataFrame:
     """The rows of the mix: the columns of ``docs``, a row for each copy, with ``mix_shard``, ``mix_copy`` and ``mix_order``.
 
-    Rows alike in id and text get the same copies. Written with :func:`write_mix`, each shard is one run of rows
-    in shuffled order.
+    Copies are those of :func:`mix_plan`, row by row: of rows alike in id, text and source just as many get a further
+    copy as the plan says. Only such repeated rows are numbered, in a sort of their own that spills. Columns of ``docs``
+    of those three names are replaced. Written with :func:`write_mix`, each shard is one run of rows in shuffled order.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col, seed=seed, **options)
-    plan = plan.groupBy(F.col("mix_key").alias("__key")).agg(F.max_by("shards", "copies").alias("__shards"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    rows = keyed.join(plan, "__key").select(*(F.col(f"`{c}`") for c in docs.columns), "__key", F.posexplode("__shards").alias("mix_copy", "mix_shard"))
+    work = Workspace(docs.sparkSession, "mixed")
+    plan = mix_plan(docs, id_col, text_col, source_col, seed=seed, **options).select(F.xxhash64("mix_key", "mix_source").alias("__row"), F.col("shards").alias("__shards"))
+    plan = work.table("plan", plan)
+    again = work.table("again", plan.groupBy("__row").count().where("count > 1").select("__row"))
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    keyed = docs.withColumns({"__key": key, "__row": F.xxhash64(key, F.col(source_col).cast("string"))})
+    if again.isEmpty():
+        rows = keyed.join(plan, "__row")
+    else:
+        alike = Window.partitionBy("__row")
+        numbered = keyed.join(again, "__row", "left_semi").withColumn("__nth", F.row_number().over(alike.orderBy("__key")))
+        told = plan.join(again, "__row", "left_semi").withColumn("__nth", F.row_number().over(alike.orderBy(F.size("__shards").desc())))
+        rows = keyed.join(plan.join(again, "__row", "left_anti"), "__row").unionByName(numbered.join(told, ["__row", "__nth"]).drop("__nth"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_shard", "mix_copy", "mix_order")]
+    rows = rows.select(*kept, "__key", F.posexplode("__shards").alias("mix_copy", "mix_shard"))
     return rows.withColumn("mix_order", F.xxhash64(F.lit(seed), "__key", "mix_copy", "mix_shard")).drop("__key")
 
 
