@@ -19,10 +19,14 @@ from narrata.llm.tables import SPACE
 from narrata.operators.skew import join_counted
 from narrata.plans.storage import Workspace, fresh_path, session_settings
 
-#: State on the executors' disks; many small stores must not each reserve space ahead.
+#: State on the executors' disks; many small stores must not each reserve space ahead, and the stores of an executor,
+#: which stay open for a while after their query, share one bound for blocks and writes.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 
