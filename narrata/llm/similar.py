@@ -16,10 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.tables import with_columns_kept
-from narrata.plans.storage import Workspace
+from narrata.llm.tables import few_broadcast, with_columns_kept
+from narrata.plans.storage import Workspace, session_settings
 
 ROUNDS = 6
+#: Texts go to Python in batches of so many rows: a batch's sets are as large as its texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shingles_of(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
@@ -82,8 +84,9 @@ def similar_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = texts.select("id", _beginnings(words_per_shingle, least)("text").alias("s")).select("id", "s.n", F.explode("s.head").alias("h"))
     shared = heads.repartition("h").sortWithinPartitions("h").mapInPandas(_repeated, "id long, n int")
     # a near set has ``least`` of the size at least, and so much of the tenth that beginnings are longer than they need be
-    some = work.table("some", shared.groupBy("id", "n").count().where(F.col("count") >= 1 + F.floor(F.floor(F.col("n") * least + 1e-9) / 10)).select("id").distinct())
-    sets = work.table("sets", texts.join(some, "id", "left_semi").dropDuplicates(["id"]).select("id", _shingles(words_per_shingle)("text").alias("s")))
+    with session_settings(docs.sparkSession, BATCH):
+        some = work.table("some", shared.groupBy("id", "n").count().where(F.col("count") >= 1 + F.floor(F.floor(F.col("n") * least + 1e-9) / 10)).select("id").distinct())
+        sets = work.table("sets", texts.join(few_broadcast(some), "id", "left_semi").dropDuplicates(["id"]).select("id", _shingles(words_per_shingle)("text").alias("s")))
     every = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
     often = every.groupBy("h").count().where("count > 1")
     by_id = every.join(often, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("often"))
@@ -111,6 +114,8 @@ def similar_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near copies of rows with smaller ids; all columns and rows with a null id stay."""
+    """The rows of ``docs`` without near copies of rows with smaller ids; all columns and rows with a null id stay.
+
+    ``docs`` is read three times, so it should not be dear to compute."""
     gone = similar_ids(docs, id_col, text_col, **options).withColumnRenamed("id", id_col)
     return with_columns_kept(docs, gone, id_col)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narrata.operators.skew import SMALL
+from narrata.plans.storage import Workspace
+
 #: ASCII white space, as a character class for Java's and RE2's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_columns_kept(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows whose id is in ``gone``, all columns kept whatever their names; null matches null."""
-    drop = gone.select(F.col(id_col).alias("__gone"))
+    """``docs`` without the rows whose id is in ``gone``, all columns kept whatever their names; null matches null.
+
+    The ids are counted first: few are sent to the rows, which then need no shuffle; more meet them in a merge."""
+    drop = few_broadcast(Workspace(docs.sparkSession, "gone").table("ids", gone.select(F.col(id_col).alias("__gone")).distinct()))
     return docs.join(drop, docs[id_col].eqNullSafe(drop["__gone"]), "left_anti")
+
+
+def few_broadcast(keys: DataFrame, small: int = SMALL) -> DataFrame:
+    """A table, marked for a broadcast if it has at most ``small`` rows, else for a merge join."""
+    return F.broadcast(keys) if keys.limit(small + 1).count() <= small else keys.hint("merge")
