@@ -4,8 +4,10 @@ Two texts are near where their sets of shingles have a Jaccard similarity of ``l
 ``least`` of either at least, so in any one order of shingles their beginnings meet. A first pass deals out only those
 beginnings, by hash, and leaves the few documents whose beginning others share widely enough. Of these the rarest
 shingles make buckets; in rounds all members of a bucket are compared with its smallest id, which then leaves the bucket,
-so a large group of near copies costs a comparison a member. Buckets that outlast the rounds are compared pair by pair.
-No pair is lost on the way: the filters are necessary conditions, not samples.
+so a large group of near copies costs a comparison a member. Two sets are compared only where enough of both is left from
+the shingle they meet in. In what outlasts the rounds the smaller set of a pair is met only in the still shorter beginning
+that one of its own size would need, so sets that a bucket merely brings together, such as many edits of one text that
+are less alike than ``least``, are not paired. No pair is lost on the way: the filters are necessary conditions, not samples.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.llm.tables import few_broadcast, with_columns_kept
+from narrata.operators.skew import join_counted
 from narrata.plans.storage import Workspace, session_settings
 
 ROUNDS = 6
@@ -88,11 +91,19 @@ def similar_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         some = work.table("some", shared.groupBy("id", "n").count().where(F.col("count") >= 1 + F.floor(F.floor(F.col("n") * least + 1e-9) / 10)).select("id").distinct())
         sets = work.table("sets", texts.join(few_broadcast(some), "id", "left_semi").dropDuplicates(["id"]).select("id", _shingles(words_per_shingle)("text").alias("s")))
     every = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    often = every.groupBy("h").count().where("count > 1")
-    by_id = every.join(often, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("often"))
-    # shingles of its own come first in a set's order, and meet nothing
+    often = work.table("often", every.groupBy("h").count().where("count > 1"))
+    total = sets.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
+    by_id = join_counted(every, often, "h", total, n="count").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("often"))
+    # shingles of its own come first in a set's order, and meet nothing; left: shingles from this one on, itself included
     size = F.size("often") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
-    buckets = work.table("buckets-0", by_id.where(size > 0).select("id", F.explode(F.slice("often", F.lit(1), size)).alias("o")).select("id", F.col("o.h").alias("h")))
+    begun = by_id.where(size > 0).select("id", "n", F.size("often").alias("m"), F.posexplode(F.slice("often", F.lit(1), size)).alias("k", "o"))
+    buckets = work.table("buckets-0", begun.select(F.col("o.h").alias("h"), "id", "n", (F.col("m") - F.col("k")).alias("left")))
+    work.drop("some", "often")
+
+    def room(a: str, b: str) -> Column:
+        """Whether sets whose first common shingle this is can be near: what is left of both is as much as they must share."""
+        must = least * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+        return F.least(f"{a}.left", f"{b}.left") * (1 + least) >= must - 1e-9
 
     def near(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -101,15 +112,19 @@ def similar_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     gone = work.table("gone-0", sets.select("id").limit(0))
     for k in range(1, rounds + 1):
-        first = buckets.groupBy("h").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
-        members = work.table("members", buckets.join(first, "h").where("id <> a").select("h", "id", "a"))
+        first = work.table("first", buckets.groupBy("h").agg(F.min(F.struct("id", "n", "left")).alias("a"), F.count("*").alias("m")).where("m > 1"))
+        met = join_counted(buckets.select("h", F.struct("id", "n", "left").alias("b")), first, "h", buckets.count(), n="m")
+        members = work.table("members", met.where("b.id <> a.id").select("h", "b.*", F.when(room("a", "b"), F.col("a.id")).alias("a")))
         if members.isEmpty():
             return gone
-        found = work.table("found", near(members.select("a", F.col("id").alias("b"))))
+        found = work.table("found", near(members.where("a is not null").select("a", F.col("id").alias("b"))))
         gone = work.table(f"gone-{k}", gone.unionByName(found))
-        buckets = work.table(f"buckets-{k}", members.select("h", "id").join(found, "id", "left_anti"))
+        buckets = work.table(f"buckets-{k}", members.drop("a").join(found, "id", "left_anti").select(*buckets.columns))
         work.drop(f"gone-{k - 1}", f"buckets-{k - 1}")
-    rest = buckets.select("h", F.col("id").alias("a")).join(buckets.select("h", F.col("id").alias("b")), "h").where("a < b").select("a", "b")
+    # the smaller set of a near pair has this shingle early enough for one of its own size; then both must have room
+    small = buckets.where(F.col("left") * (1 + least) >= 2 * least * F.col("n") - 1e-9)
+    fits = (F.col("x.h") == F.col("y.h")) & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & room("x", "y")
+    rest = small.alias("x").join(buckets.alias("y"), fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     return gone.unionByName(near(rest)).distinct()
 
 
