@@ -19,9 +19,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.tables import with_columns_kept
+from narrata.llm.tables import SMALL_BATCHES, with_columns_kept
 from narrata.operators.components import connected_components
-from narrata.plans.storage import Workspace
+from narrata.plans.storage import Workspace, session_settings
 
 BITS = 64
 LEAF = 32
@@ -253,7 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     give a row each. Other columns are not read, whatever their names. An empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "simhash")
-    rows = work.table("fingerprints", docs.select(F.col(id_col).cast("long").alias("id"), simhash(F.col(text_col), words_per_shingle).alias("fp")))
+    prints = docs.select(F.col(id_col).cast("long").alias("id"), simhash(F.col(text_col), words_per_shingle).alias("fp"))
+    with session_settings(docs.sparkSession, SMALL_BATCHES):
+        rows = work.table("fingerprints", prints)
     reps = work.table("reps", rows.groupBy("fp").agg(F.min("id").alias("rep")))
     links = work.table("links", fingerprint_links(reps.where("rep is not null"), max_bits))
     parts = connected_components(links)

@@ -18,13 +18,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.tables import few_broadcast, with_columns_kept
+from narrata.llm.tables import SMALL_BATCHES, few_broadcast, with_columns_kept
 from narrata.operators.skew import join_counted
 from narrata.plans.storage import Workspace, session_settings
 
 ROUNDS = 6
-#: Texts go to Python in batches of so many rows: a batch's sets are as large as its texts.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shingles_of(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
@@ -87,7 +85,7 @@ def similar_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = texts.select("id", _beginnings(words_per_shingle, least)("text").alias("s")).select("id", "s.n", F.explode("s.head").alias("h"))
     shared = heads.repartition("h").sortWithinPartitions("h").mapInPandas(_repeated, "id long, n int")
     # a near set has ``least`` of the size at least, and so much of the tenth that beginnings are longer than they need be
-    with session_settings(docs.sparkSession, BATCH):
+    with session_settings(docs.sparkSession, SMALL_BATCHES):
         some = work.table("some", shared.groupBy("id", "n").count().where(F.col("count") >= 1 + F.floor(F.floor(F.col("n") * least + 1e-9) / 10)).select("id").distinct())
         sets = work.table("sets", texts.join(few_broadcast(some), "id", "left_semi").dropDuplicates(["id"]).select("id", _shingles(words_per_shingle)("text").alias("s")))
     every = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))

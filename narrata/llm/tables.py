@@ -11,6 +11,8 @@ from narrata.plans.storage import Workspace
 #: ASCII white space, as a character class for Java's and RE2's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whole texts go to Python in batches of so many rows, since both sides hold a batch at once.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
