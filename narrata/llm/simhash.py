@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.tables import SMALL_BATCHES, with_columns_kept
+from narrata.llm.tables import SMALL_BATCHES, text_key, with_columns_kept
 from narrata.operators.components import connected_components
 from narrata.plans.storage import Workspace, session_settings
 
@@ -248,12 +248,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: its id, ``fp`` (long, 64 bits), ``fingerprint`` (16 hex digits) and ``component_id``.
 
     component_id is the smallest id that links reach, the row's own included; fingerprints at most ``max_bits``
-    bits apart link. Null or blank texts have fingerprint 0 and link like others. Rows with a null id are kept:
-    they take the component of their fingerprint (null when no row of it has an id) but name none. Repeated ids
-    give a row each. Other columns are not read, whatever their names. An empty table gives no rows.
+    bits apart link. Null or blank texts have fingerprint 0 and link like others; texts of any length are read whole.
+    Rows with a null id are kept: they take the component of their fingerprint (null when no row of it has an id) but
+    name none. Repeated ids give a row each. Other columns are not read, whatever their names. An empty table gives no rows.
     """
+    return _judged(docs, id_col, text_col, words_per_shingle, max_bits).drop("of")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int = 4, max_bits: int = 4, of: Column | None = None) -> DataFrame:
+    """What :func:`near_duplicates` returns, with a column ``of`` of the row."""
     work = Workspace(docs.sparkSession, "simhash")
-    prints = docs.select(F.col(id_col).cast("long").alias("id"), simhash(F.col(text_col), words_per_shingle).alias("fp"))
+    prints = docs.select(F.col(id_col).cast("long").alias("id"), simhash(F.col(text_col), words_per_shingle).alias("fp"), *([] if of is None else [of.alias("of")]))
     with session_settings(docs.sparkSession, SMALL_BATCHES):
         rows = work.table("fingerprints", prints)
     reps = work.table("reps", rows.groupBy("fp").agg(F.min("id").alias("rep")))
@@ -261,16 +266,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(links)
     named = reps.join(parts, reps["rep"] == parts["node"], "left").select("fp", F.least("rep", F.coalesce("component", "rep")).alias("component_id"))
     return rows.join(named, "fp").select(
-        F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *([] if of is None else ["of"])
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays.
 
-    All columns of ``docs`` stay. Rows with a null id and repeated rows of a component go as its other members
-    do, unless no row of the component has an id: then all its rows stay.
+    All columns of ``docs`` stay, whatever their names. Rows are judged by id and text: of two texts under one id, each
+    goes or stays by its own component. Rows of a component that have no id go if any of its rows has one, else all
+    stay. Rows alike in id and text share one fate. An empty table stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    found = _judged(docs, id_col, text_col, of=text_key(docs[text_col]), **options)
     gone = found.where(F.col("component_id").isNotNull() & (F.col(id_col).isNull() | (F.col(id_col) != F.col("component_id"))))
-    return with_columns_kept(docs, gone.select(id_col).distinct(), id_col)
+    return with_columns_kept(docs, gone.select(id_col, "of"), id_col, text_key(docs[text_col]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.operators.skew import SMALL
@@ -20,12 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_columns_kept(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows whose id is in ``gone``, all columns kept whatever their names; null matches null.
+def text_key(text: Column) -> Column:
+    """Tells the texts under one id apart."""
+    return F.xxhash64(text, F.char_length(text))
 
-    The ids are counted first: few are sent to the rows, which then need no shuffle; more meet them in a merge."""
-    drop = few_broadcast(Workspace(docs.sparkSession, "gone").table("ids", gone.select(F.col(id_col).alias("__gone")).distinct()))
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["__gone"]), "left_anti")
+
+def with_columns_kept(docs: DataFrame, gone: DataFrame, id_col: str, of: Column) -> DataFrame:
+    """``docs`` without the rows whose id and ``of`` are in ``gone`` (two columns: id and of), all columns kept whatever
+    their names; null matches null.
+
+    The pairs are counted first: few are sent to the rows, which then need no shuffle; more meet them in a merge."""
+    drop = few_broadcast(Workspace(docs.sparkSession, "gone").table("ids", gone.toDF("__gone", "__of").distinct()))
+    return docs.join(drop, docs[id_col].eqNullSafe(drop["__gone"]) & of.eqNullSafe(drop["__of"]), "left_anti")
 
 
 def few_broadcast(keys: DataFrame, small: int = SMALL) -> DataFrame:

@@ -88,6 +88,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
 
 def keep_allowed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:
-    """The rows of ``pages`` whose URL is allowed; all columns stay."""
-    bad = judge(pages.select(id_col, url_col).distinct(), id_col, url_col, **options).where("verdict = 'block'").select(F.col(id_col).alias("__id")).distinct()
-    return pages.join(bad, pages[id_col].eqNullSafe(bad["__id"]), "left_anti")
+    """The rows of ``pages`` whose URL is allowed; all columns stay. Rows are judged by their URL alone, so repeated and
+    null ids change nothing; a null URL is judged like an empty one."""
+    bad = judge(pages.select(F.col(url_col).alias("url")).distinct(), "url", "url", **options).where("verdict = 'block'")
+    bad = bad.select(F.col("url").alias("__url")).distinct()
+    return pages.join(bad, pages[url_col].eqNullSafe(bad["__url"]), "left_anti")

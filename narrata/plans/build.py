@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.operators import curate, generate, linkage, scoring
+from narrata.operators import curate, generate, linkage, places, scoring
 from narrata.plans.storage import Workspace
 from narrata.sources import files
 
@@ -19,12 +19,13 @@ def build(spark: SparkSession, source: str, out: str, license: str | None, confi
     """Raw reports (JSON lines) to splits below ``out``; returns the manifest.
 
     Writes train (with its oversampled copies), eval, reserve ids only, a sample, the column inventory, the rules,
-    review packets and the manifest. The order of lines is that of the file name and the place in the file.
+    review packets and the manifest. Lines stand in the order of the paths of their files and of their places in these, so
+    the first copy of an id is the first in that order, however Spark cuts and deals the files.
     """
     c = {**DEFAULTS, **(config or {})}
     work = Workspace(spark, "build")
-    raw = files.read_reports(spark, source, license)
-    reports = work.table("reports", raw.withColumn("pos", F.monotonically_increasing_id()))
+    reports = work.table("reports", places.line_places(work.table("lines", files.read_reports(spark, source, license, marked=True)), "pos"))
+    work.drop("lines")
     curate.frequencies(reports).write.json(f"{out}/column_inventory")
     curated = work.table("curated", curate.curate(reports, "pos", c["narrative_chars"], c["max_chars"]))
     split = work.table("split", linkage.group_split(curate.eligible(curated).drop("gold"), c["eval_size"], c["train_size"], c["seed"]))

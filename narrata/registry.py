@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from narrata.queries import documents, reports, scores, splits
+from narrata.queries import documents, lines, reports, scores, splits
 
-MODULES = (documents, reports, splits, scores)
+MODULES = (documents, lines, reports, splits, scores)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

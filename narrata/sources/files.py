@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.operators.curate import report_fields
+from narrata.operators.places import BLOCK, FILE, TURN, marked_lines
 from narrata.packs import fixed
 
 REPORT_SCHEMA = ", ".join(f"`{name}` string" for name in fixed.COLUMNS.values())
@@ -21,11 +22,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_reports(spark: SparkSession, path: str, license: str | None) -> DataFrame:
-    """Raw reports under their short names. The source must name its license."""
+def read_reports(spark: SparkSession, path: str, license: str | None, marked: bool = False) -> DataFrame:
+    """Raw reports under their short names. The source must name its license. marked: with the columns that
+    ``places.line_places`` makes their places of."""
     if not (license or "").strip():
         raise ValueError("Source has no license; record provenance before building")
-    return report_fields(read_jsonl(spark, path, REPORT_SCHEMA))
+    raw = read_jsonl(spark, path, REPORT_SCHEMA)
+    return report_fields(marked_lines(raw), *map(F.col, (FILE, BLOCK, TURN))) if marked else report_fields(raw)
 
 
 def read_narratives(spark: SparkSession, path: str) -> DataFrame:
