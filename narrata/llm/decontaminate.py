@@ -236,20 +236,29 @@ def remove_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     read the input's texts; their spans are merged before anything is measured or cut, so ``max_words`` changes no result.
     """
     work, out = Workspace(docs.sparkSession, "decontaminate"), docs
+    m, n_words, held, new = free_names(docs.columns, "m", "words", "spans", "new")
     for k, (automaton, last) in enumerate(_automata(benchmark, item_col, item_text_col, window, max_words)):
         matched = _matcher(docs.sparkSession.sparkContext.broadcast(automaton)).asNondeterministic()  # else the optimizer would copy it into the filter on its result
-        out = out.withColumn("__m", matched(F.col(text_col)))
-        spans = F.col("__m.spans")
+        out = out.withColumn(m, matched(F.col(text_col)))
+        spans = F.col(m)["spans"]
         if k:
-            spans = merged_spans(F.array_sort(F.concat("__spans", spans)))
-        out = out.withColumns({"__words": F.col("__m.n_words"), "__spans": spans}).drop("__m")
+            spans = merged_spans(F.array_sort(F.concat(held, spans)))
+        out = out.withColumns({n_words: F.col(m)["n_words"], held: spans}).drop(m)
         if not last:
             out = work.table(f"after-{k % 2}", out)
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    out = out.where(n_hit / F.greatest(F.lit(1), "__words") <= most_covered)
-    out = out.withColumn("__new", F.when(F.size("__spans") > 0, _cut_text(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
-    new = {text_col: F.col("__new")}
+    n_hit = F.aggregate(held, F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    out = out.where(n_hit / F.greatest(F.lit(1), n_words) <= most_covered)
+    out = out.withColumn(new, F.when(F.size(held) > 0, _cut_text(F.col(text_col), F.col(held))).otherwise(F.col(text_col)))
+    changed = {text_col: F.col(new)}
     if length_col:
-        cut_short = ~F.col("__new").eqNullSafe(F.col(text_col))
-        new[length_col] = F.when(cut_short, F.char_length("__new").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return out.withColumns(new).select(*(F.col(f"`{c}`") for c in docs.columns))
+        cut_short = ~F.col(new).eqNullSafe(F.col(text_col))
+        changed[length_col] = F.when(cut_short, F.char_length(new).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return out.withColumns(changed).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """Column names that no column of a table has, in any case of letters."""
+    prefix, used = "__", [c.lower() for c in taken]
+    while any(c.startswith(prefix) for c in used):
+        prefix += "_"
+    return [prefix + n for n in names]

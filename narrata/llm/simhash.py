@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from narrata.llm.tables import SMALL_BATCHES, text_key, with_columns_kept
 from narrata.operators.components import connected_components
+from narrata.operators.skew import join_counted
 from narrata.plans.storage import Workspace, session_settings
 
 BITS = 64
@@ -248,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: its id, ``fp`` (long, 64 bits), ``fingerprint`` (16 hex digits) and ``component_id``.
 
     component_id is the smallest id that links reach, the row's own included; fingerprints at most ``max_bits``
-    bits apart link. Null or blank texts have fingerprint 0 and link like others; texts of any length are read whole.
+    bits apart link, each for itself where rows of several share an id. Null or blank texts have fingerprint 0 and link like others; texts of any length are read whole.
     Rows with a null id are kept: they take the component of their fingerprint (null when no row of it has an id) but
     name none. Repeated ids give a row each. Other columns are not read, whatever their names. An empty table gives no rows.
     """
@@ -262,9 +263,11 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int
     with session_settings(docs.sparkSession, SMALL_BATCHES):
         rows = work.table("fingerprints", prints)
     reps = work.table("reps", rows.groupBy("fp").agg(F.min("id").alias("rep")))
-    links = work.table("links", fingerprint_links(reps.where("rep is not null"), max_bits))
-    parts = connected_components(links)
-    named = reps.join(parts, reps["rep"] == parts["node"], "left").select("fp", F.least("rep", F.coalesce("component", "rep")).alias("component_id"))
+    links = work.table("links", fingerprint_links(reps.where("rep is not null").select("fp", F.col("fp").alias("rep")), max_bits))
+    parts = work.table("parts", connected_components(links).withColumnRenamed("node", "fp"))
+    least = work.table("least", parts.join(reps, "fp").groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n")))
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    named = reps.join(join_counted(parts, least, "component", total).select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return rows.join(named, "fp").select(
         F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *([] if of is None else ["of"])
     )

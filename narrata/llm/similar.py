@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.tables import SMALL_BATCHES, few_broadcast, with_columns_kept
+from narrata.llm.tables import SMALL_BATCHES, few_broadcast, text_key, with_columns_kept
+from narrata.operators.places import numbered
 from narrata.operators.skew import join_counted
 from narrata.plans.storage import Workspace, session_settings
 
@@ -129,6 +130,15 @@ def similar_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without near copies of rows with smaller ids; all columns and rows with a null id stay.
 
-    ``docs`` is read three times, so it should not be dear to compute."""
-    gone = similar_ids(docs, id_col, text_col, **options).withColumnRenamed("id", id_col)
-    return with_columns_kept(docs, gone, id_col)
+    Two texts under one id are two documents, the one of the smaller hash first; rows alike in id and text share one fate.
+    An empty table stays empty. ``docs`` is read several times, so it should not be dear to compute."""
+    of, named = text_key(F.col(text_col)), docs.where(F.col(id_col).isNotNull())
+    keys = named.select(F.col(id_col).cast("long").alias("id"), of.alias("of"))
+    if keys.groupBy("id").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a <> b").isEmpty():
+        gone = similar_ids(docs, id_col, text_col, **options)
+        return with_columns_kept(docs, gone.select("id", F.lit(0)), id_col, F.lit(0))
+    # ids do not tell the documents apart: places in the order of id and text do
+    places = Workspace(docs.sparkSession, "similar").table("places", numbered(keys.distinct(), ["id", "of"], "place"))
+    texts = named.select(F.col(id_col).cast("long").alias("id"), of.alias("of"), F.col(text_col).alias("text")).join(places, ["id", "of"])
+    gone = similar_ids(texts.select("place", "text"), "place", "text", **options).withColumnRenamed("id", "place")
+    return with_columns_kept(docs, gone.join(places, "place").select("id", "of"), id_col, text_key(docs[text_col]))
