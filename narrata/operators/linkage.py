@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from narrata.operators import rooms
 from narrata.operators.components import connected_components
+from narrata.plans.storage import Workspace
 
 PARTS = ("eval", "train", "reserve")
 
@@ -35,50 +36,19 @@ def link_groups(rows: DataFrame, report_id: str = "report_id", related: str = "r
     return ids.join(found.withColumnRenamed("node", "report_id"), "report_id", "left").select("report_id", F.coalesce("component", "report_id").alias("group_id"))
 
 
-def fill(sizes: DataFrame, eval_size: int, train_size: int, seed: int) -> DataFrame:
+def fill(sizes: DataFrame, eval_size: int, train_size: int, seed: int, **ranges: int) -> DataFrame:
     """(group_id, split) for (group_id, n): groups in seeded order go to eval if they fit, else to train if they fit,
     else to reserve.
 
-    Whether a group fits depends on all before it, so the two counters run over the order. Rows of groups that hold
-    one report each, nearly all of them, would make the walk long; but once a part is full it stays full, so only the
-    groups that might still fit are walked: those that start before the seeded order has offered
-    ``eval_size + train_size`` reports in groups no larger than the smaller room. Counting by ranges finds that point.
-    The walk reads sizes alone, in batches, never rows or texts.
+    Whether a group fits depends on all before it. The order is cut into ranges, and what each room takes follows from their
+    sums (``operators/rooms.py``), so neither a task nor the driver walks the groups. A null n or one below 1 counts as 1.
     """
-    ordered = sizes.select("group_id", F.col("n").cast("long").alias("n"), seeded(seed, F.col("group_id")).alias("at"))
-    schema = T.StructType([T.StructField("group_id", T.StringType()), T.StructField("split", T.StringType())])
-
-    def walk(batches):
-        used_eval = used_train = 0
-        for batch in batches:
-            out = []
-            for n in batch["n"]:
-                if used_eval + n <= eval_size:
-                    used_eval += n
-                    out.append("eval")
-                elif used_train + n <= train_size:
-                    used_train += n
-                    out.append("train")
-                else:
-                    out.append("reserve")
-            yield batch[["group_id"]].assign(split=out)
-
-    cut = _last_place(ordered, eval_size + train_size)
-    near, far = (ordered, None) if cut is None else (ordered.where(F.col("at") <= cut), ordered.where(F.col("at") > cut))
-    placed = near.repartition(1).sortWithinPartitions("at", "group_id").mapInPandas(walk, schema)
-    return placed if far is None else placed.unionByName(far.select("group_id", F.lit("reserve").alias("split")))
-
-
-def _last_place(ordered: DataFrame, room: int) -> str | None:
-    """A place in the order after which nothing can fit: single reports, which fit wherever there is room, have by
-    then filled all of it. None if they cannot. Found by counts of hash prefixes, one small row each."""
-    singles = ordered.where("n = 1").groupBy(F.substring("at", 1, 3).alias("p")).count().orderBy("p").collect()
-    total = 0
-    for row in singles:
-        total += row["count"]
-        if total >= room:
-            return row["p"] + "g"  # above every hexadecimal digit that may follow
-    return None
+    work = Workspace(sizes.sparkSession, "fill")
+    n = F.greatest(F.coalesce(F.col("n").cast("long"), F.lit(1)), F.lit(1))
+    ordered = work.table("ordered", sizes.select("group_id", n.alias("n"), seeded(seed, F.col("group_id")).alias("at")).repartitionByRange("at").sortWithinPartitions("at"))
+    in_eval = rooms.fill_room(ordered, eval_size, **ranges).takes(F.col("at"), F.col("n"))
+    in_train = rooms.fill_room(ordered.where(~in_eval), train_size, **ranges).takes(F.col("at"), F.col("n"))
+    return ordered.select("group_id", F.when(in_eval, "eval").when(in_train, "train").otherwise("reserve").alias("split"))
 
 
 def group_split(rows: DataFrame, eval_size: int, train_size: int, seed: int = 42, strict: bool = True) -> DataFrame:

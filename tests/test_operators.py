@@ -53,6 +53,18 @@ def test_split_ignores_order_and_links_through_others(spark):
     assert {i: s for i, (_, s) in seen[0].items()} == plain_split(groups, 6, 20, 42)
 
 
+@pytest.mark.parametrize(("sizes", "eval_size", "train_size"), [((1, 2, 3, 5, 8, 40, 90), 97, 1200), ((7, 30, 31, 64), 300, 500), ((5,), 12, 13), ((1, 1, 1, 2), 5000, 0)])
+def test_fill_of_many_sizes(spark, sizes, eval_size, train_size):
+    rng = random.Random(eval_size)
+    groups = {f"g{i}": ["r"] * rng.choice(sizes) for i in range(300)}
+    named = {g: [g] * len(n) for g, n in groups.items()}
+    df = spark.createDataFrame([(g, len(n)) for g, n in named.items()], "group_id string, n long").repartition(3)
+    want = plain_split(named, eval_size, train_size, 42)
+    for ranges in ({}, {"digits": 1, "leaf": 5}):  # read one by one, and by sums of sums of ranges
+        assert {r["group_id"]: r["split"] for r in linkage.fill(df, eval_size, train_size, 42, **ranges).collect()} == want
+    assert linkage.fill(df.limit(0), 3, 3, 42).count() == 0
+
+
 def test_split_falls_short_and_leaks_are_found(spark):
     df = spark.createDataFrame(rows_of_groups(), ROW)
     with pytest.raises(ValueError, match="Insufficient eligible groups"):
