@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.functions.text import acronyms, designators, number_tokens, plain_number, rx, text_of, texts, upper_tokens
+from narrata.functions.text import acronyms, designators, folded, let, number_tokens, plain_number, rx, text_of, texts, upper_tokens
 from narrata.packs import fixed
 from narrata.plans.fence import fence
 
@@ -39,17 +40,39 @@ def with_source(df: DataFrame, narrative: str, prefix: str = "source") -> DataFr
     return fence(df.withColumns(columns), *columns)
 
 
-ANY_CLAIM = "|".join(f"(?:{claim})" for _, claim, _ in fixed.EVENT_CLASSES)
+def heads_of(claim: str) -> list[str]:
+    """The literals, lower-cased, with one of which each match of a claim begins, at the beginning of a word."""
+    heads = []
+    for part in claim.split(r"|\b"):
+        found = re.match(r"(?:\\b)?([A-Za-z]+)", part)
+        if not found or part.startswith("("):
+            raise ValueError(f"A claim must begin with a word: {claim}")
+        heads.append(found[1].lower())
+    return heads
+
+
+HEADS = {name: heads_of(claim) for name, claim, _ in fixed.EVENT_CLASSES}
+#: The longest first, so that a match is the longest head that fits; no head begins with another.
+ANY_HEAD = rx(rf"\b(?:{'|'.join(sorted({h for heads in HEADS.values() for h in heads}, key=lambda h: (-len(h), h)))})")
+
+
+def claim_heads(c: Column) -> Column:
+    """The distinct heads of claims that stand in a text, found by one search."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(ANY_HEAD), F.lit(0)), folded))
 
 
 def unsupported_classes(source: Source, output: Column) -> Column:
     """Event classes that an output claims and its source has no evidence for, in the order of the pack.
 
-    The source is searched only for the classes that are claimed, the output class by class only if it claims any.
+    A class is looked for only where one of its heads stands, and the source is searched only for what is claimed.
     """
-    out = text_of(output)
-    found = F.array_compact(F.array(*(F.when(out.rlike(rx(claim)) & ~source.text.rlike(rx(evidence)), name) for name, claim, evidence in fixed.EVENT_CLASSES)))
-    return F.when(out.rlike(rx(ANY_CLAIM)), found).otherwise(texts([]))
+
+    def found(heads: Column) -> Column:
+        stands = lambda name: F.arrays_overlap(heads, texts(HEADS[name]))
+        classes = (F.when(stands(name) & text_of(output).rlike(rx(claim)) & ~source.text.rlike(rx(evidence)), name) for name, claim, evidence in fixed.EVENT_CLASSES)
+        return F.when(F.size(heads) > 0, F.array_compact(F.array(*classes))).otherwise(texts([]))
+
+    return let(found, claim_heads(text_of(output)))
 
 
 def grounding_flags(source: Source, output: Column) -> Column:

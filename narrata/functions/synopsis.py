@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.functions.grounding import Source, any_flag, grounding_flags, with_source
-from narrata.functions.text import content_words, let, overlap, replace_each, rx, sentences, strip, text_of, texts, word_count
+from narrata.functions.text import content_words, folded, let, overlap, replace_each, rx, sentences, strip, text_of, texts, word_count
 from narrata.packs import fixed
 from narrata.plans.fence import fence
 
@@ -55,16 +55,25 @@ def generalise_types(c: Column, narrative: Column) -> Column:
     return reduce(lambda text, pattern: replace_each(text, rx(pattern, cased=True), seen), (fixed.AIRCRAFT_TYPE, fixed.AIRCRAFT_NAME), c)
 
 
+#: Qualifiers made of others are looked at when those are gone; the rest do not overlap, so each pass reads a text once.
+_EVERY = fixed.QUALIFIERS.split("|")
+_COMPOUND = {q for q in _EVERY if " " in q and {w.lower() for w in q.split(" ")} & {x.lower() for x in _EVERY}}
+QUALIFIER_PASSES = tuple("|".join(q for q in _EVERY if (q in _COMPOUND) == compound) for compound in (False, True))
+
+
 def drop_qualifiers(c: Column, narrative: Column) -> Column:
-    """Qualifiers that the narrative lacks go where they stand before an aircraft or its crew."""
+    """Qualifiers that the narrative lacks go where they stand before an aircraft or its crew.
+
+    What the narrative attests is looked up for each match in a list of its qualifiers, which one search finds."""
     before = rf"(?=(?:\s+(?:{fixed.QUALIFIERS}))*\s+(?:{fixed.QUALIFIED})\b)"
+    plain = lambda m: F.translate(folded(m), "-", " ")
 
-    def dropped(c: Column, word: str) -> Column:
-        pattern = rx(rf"\b{word}{before}")
-        return let(lambda c: F.when(c.rlike(pattern) & ~narrative.rlike(rx(rf"\b{word}\b")), swap(c, pattern, "")).otherwise(c), c)
+    def dropped(c: Column, some: str) -> Column:
+        held = F.transform(F.regexp_extract_all(narrative, F.lit(rx(rf"\b(?:{some})\b")), F.lit(0)), plain)
+        return let(lambda c, held: replace_each(c, rx(rf"\b(?:{some}){before}"), lambda m: F.when(F.array_contains(held, plain(m)), m).otherwise("")), c, held)
 
     # one search tells the texts, nearly all, that no word is to be dropped from
-    return let(lambda c: F.when(c.rlike(rx(rf"\b(?:{fixed.QUALIFIERS}){before}")), reduce(dropped, fixed.QUALIFIERS.split("|"), c)).otherwise(c), c)
+    return let(lambda c: F.when(c.rlike(rx(rf"\b(?:{fixed.QUALIFIERS}){before}")), reduce(dropped, QUALIFIER_PASSES, c)).otherwise(c), c)
 
 
 def tidy(c: Column) -> Column:

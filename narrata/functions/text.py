@@ -34,6 +34,11 @@ def let(use: Callable[..., Column], *values: Column) -> Column:
     return F.transform(F.array(F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True)))), lambda s: use(*(s[n] for n in names)))[0]
 
 
+def folded(c: Column) -> Column:
+    """``c`` in lower case, with the four letters that patterns of any case take for plain ones as those."""
+    return F.lower(F.translate(c, "\u017f\u0131\u0130\u212a", "siik"))
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
