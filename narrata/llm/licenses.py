@@ -15,11 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from narrata.functions.text import let
 from narrata.llm.tables import few_broadcast, text_key
 from narrata.llm.urls import LOWER, UPPER
 from narrata.plans.storage import Workspace
 
 WORDS = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+#: The same in a text whose letters have their case.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Phrases that give a label wherever their words stand.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -50,9 +53,8 @@ def words_of(text: Column) -> Column:
 
 
 def rolling(words: Column, k: int) -> Column:
-    """The runs of ``k`` words, in order, each joined by spaces."""
-    places = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+    """From each word on, the next ``k`` words joined by spaces, fewer at the end. The words are found once, not for each run."""
+    return let(lambda w: F.transform(w, lambda x, i: F.concat_ws(" ", x, *(F.get(w, i + j) for j in range(1, k)))), words)
 
 
 def template_grams(spark: SparkSession, phrases=PHRASES, grants=GRANTS, k: int = K) -> DataFrame:
@@ -80,7 +82,9 @@ def coverages(found: DataFrame, slack: int) -> DataFrame:
     near = Window.partitionBy("id", "of", "template").orderBy("start").rangeBetween(0, slack)
     merged = F.array_distinct(F.flatten(F.collect_list("at").over(near)))
     held = F.when(F.col("base"), F.col("at")).otherwise(merged)
-    return found.select("id", "of", "template", "label", "base", "start", (F.size(held) / F.col("places")).alias("coverage"), F.array_max(held).alias("last"))
+    end = F.col("start") + F.array_max("at")
+    last = F.when(F.col("base"), end).otherwise(F.max(end).over(near))
+    return found.select("id", "of", "template", "label", "base", "start", (F.size(held) / F.col("places")).alias("coverage"), last.alias("last"))
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, grants=GRANTS, k: int = K, slack: int = SLACK, least: float = LEAST) -> DataFrame:
@@ -93,7 +97,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     best = F.max("coverage").over(around.rangeBetween(-slack, slack))
     before = F.coalesce(F.max("coverage").over(around.rangeBetween(-slack, -1)), F.lit(0.0))
     ranked = kept.withColumns({"best": best, "before": before}).where("base or (coverage = best and before < coverage)")
-    return ranked.select(F.col("id").alias(id_col), "of", "label", "base", "start", (F.col("start") + F.col("last") + k).alias("stop"), "coverage")
+    return ranked.select(F.col("id").alias(id_col), "of", "label", "base", F.greatest("start", F.lit(0)).alias("start"), (F.col("last") + k).alias("stop"), "coverage")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, grants=GRANTS, k: int = K, slack: int = SLACK, least: float = LEAST) -> DataFrame:
@@ -114,7 +118,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     )
     facts = few_broadcast(work.table("facts", facts.withColumnsRenamed({"id": "__id", "of": "__of"})))
     work.drop("coverages")
-    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("of"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("of"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words"))
     out = rows.join(facts, rows["id"].eqNullSafe(facts["__id"]) & rows["of"].eqNullSafe(facts["__of"]), "left")
     joined = lambda c: F.array_join(F.array_sort(F.coalesce(F.col(c), F.array().cast("array<string>"))), ",")
     return out.select(
