@@ -18,6 +18,7 @@ def main() -> None:
     b.add_argument("--output", required=True)
     b.add_argument("--license")
     b.add_argument("--config")
+    b.add_argument("--resume", help="folder of the stages; a run that failed is taken up there")
     e = commands.add_parser("evaluate", help="score saved outputs of two models")
     e.add_argument("--eval", required=True)
     e.add_argument("--predictions", required=True)
@@ -26,7 +27,7 @@ def main() -> None:
     args = parser.parse_args()
     spark = SparkSession.builder.getOrCreate()
     if args.command == "build":
-        build.build(spark, args.input, args.output, args.license, files.read_config(args.config) if args.config else None)
+        build.build(spark, args.input, args.output, args.license, files.read_config(args.config) if args.config else None, args.resume)
         return
     if args.limit is not None and args.limit <= 0:
         parser.error("--limit must be positive")

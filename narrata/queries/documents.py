@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.functions import text as t
 from narrata.functions.grounding import Source, grounding_flags, with_source
+from narrata.operators.places import numbered
+from narrata.plans.storage import Workspace
 from narrata.queries import table
-from narrata.sources.files import dataset_digest
+from narrata.sources.files import dataset_digest, ordered_digest
 
 QUERIES, ORACLES = {}, {}
 
@@ -164,3 +168,19 @@ SUMS = " || ',' || ".join(f"coalesce(sum(('0x' || substr(h, {13 * k + 1}, 13))::
 def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order-free digest of the documents."""
     return dataset_digest(docs(spark, sf_dir), "doc_id", "lang", "text")
+
+
+@query(
+    f"""with d as (select *, row_number() over (order by doc_id) - 1 as pos from documents), v as (select 'as written' as variant, pos, doc_id, text from d
+            union all select 'two rows swapped', case pos when 3 then 4 when 4 then 3 else pos end, doc_id, text from d union all select 'one row fewer', pos, doc_id, text from d where pos <> (select max(pos) from d)),
+        r as (select variant, sha256(coalesce(length(pos::varchar) || ':' || pos, '-') || coalesce(length(doc_id::varchar) || ':' || doc_id, '-') || coalesce(length(text) || ':' || text, '-')) as h from v)
+        select variant, count(*) as n_rows, sha256(count(*)::varchar || ',' || {SUMS}) as digest from r group by variant"""
+)
+def ordered_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the documents in their order, with two of them swapped, and without the last."""
+    placed = Workspace(spark, "digests").table("placed", numbered(docs(spark, sf_dir).select("doc_id", "text"), ["doc_id"], "pos"))
+    swapped = placed.withColumn("pos", F.when(F.col("pos").isin(3, 4), 7 - F.col("pos")).otherwise(F.col("pos")))
+    last = placed.agg(F.max("pos")).first()[0]
+    variants = {"as written": placed, "two rows swapped": swapped, "one row fewer": placed.where(F.col("pos") < F.lit(last))}
+    each = [ordered_digest(rows, "pos", "doc_id", "text").withColumn("variant", F.lit(name)) for name, rows in variants.items()]
+    return reduce(DataFrame.unionByName, each).select("variant", "n_rows", "digest")

@@ -36,7 +36,10 @@ CHEAP = """case when rid = '' then 'drop_missing_id' when copy > 1 then 'drop_du
         when coalesce(synopsis, '') = '' and coalesce(factor, '') = '' then 'drop_no_supervision'"""
 
 
-@query(f"with {reports_sql()}, c as (select *, {FIRST} from n) select coalesce({CHEAP} end, 'passed') as drop_reason, count(*) as n_rows from c group by 1")
+CHEAP_FUNNEL = f"with {reports_sql()}, c as (select *, {FIRST} from n) select coalesce({CHEAP} end, 'passed') as drop_reason, count(*) as n_rows from c group by 1"
+
+
+@query(CHEAP_FUNNEL)
 def cheap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports by the first of the filters that need no extraction."""
     df = curate.cheap_reasons(reports(spark, sf_dir), "pos")

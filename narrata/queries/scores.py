@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.functions import brief as briefs
-from narrata.operators import scoring
+from narrata.operators import reviews, scoring
 from narrata.queries import table
 from narrata.queries.reports import BREAKS
 from narrata.queries.templates import reports, reports_sql
@@ -140,3 +140,26 @@ def review_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {REVIEWED} select 'lesson' as field, count(*) as n_rows from r where concern union all select 'note', count(*) from r where concern and toxic = 1 having count(*) > 0")
 def review_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.review_fields(reviewed(spark, sf_dir))
+
+
+def packet_and_reviews(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents as a packet in order of id; their reviews, of which every 50th is lost, every 40th of
+    another document, every 30th repeated, and every 20th in the place of the 19th before it."""
+    d, split = F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("eval")
+    packet = table(spark, sf_dir, "labels").select(split.alias("split"), (d * 10).alias("pos"), d.cast("string").alias("report_id"))
+    kept = packet.where(F.col("pos") % 500 != 0)
+    pos = F.when(F.col("pos") % 200 == 0, F.col("pos") - 395).otherwise(F.col("pos"))
+    reviews = kept.select("split", pos.alias("pos"), F.when(F.col("pos") % 400 == 0, F.concat(F.lit("x"), "report_id")).otherwise(F.col("report_id")).alias("report_id"))
+    return packet, reviews.unionByName(kept.where("pos % 300 = 0").select("split", (F.col("pos") + 1).alias("pos"), "report_id"))
+
+
+@query("""with p as (select case when doc_id % 2 = 0 then 'train' else 'eval' end as split, doc_id * 10 as pos, doc_id::varchar as report_id from labels), k as (select * from p where pos % 500 <> 0),
+        r as (select split, case when pos % 200 = 0 then pos - 395 else pos end as pos, case when pos % 400 = 0 then 'x' || report_id else report_id end as report_id from k union all select split, pos + 1, report_id from k where pos % 300 = 0),
+        pc as (select *, row_number() over (partition by split, report_id order by pos) as copy from p), rc as (select *, row_number() over (partition by split, report_id order by pos) as copy from r),
+        b as (select split, report_id, copy, pc.pos as packet_pos, rc.pos as review_pos from pc full join rc using (split, report_id, copy)),
+        c as (select split, report_id, copy, row_number() over (partition by split order by packet_pos) as a, row_number() over (partition by split order by review_pos) as b from b where packet_pos is not null and review_pos is not null)
+        select b.split, b.report_id, packet_pos, review_pos, case when review_pos is null then 'missing' when packet_pos is null and b.report_id not in (select report_id from p) then 'foreign' when packet_pos is null then 'repeated'
+               when c.a = c.b then 'aligned' else 'out of order' end as verdict from b left join c using (split, report_id, copy)""")
+def review_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews held against the packet they are of."""
+    return reviews.aligned(*packet_and_reviews(spark, sf_dir))

@@ -39,14 +39,14 @@ def read_narratives(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.col("_metadata.file_path").alias("id"), F.col("value").alias("narrative"))
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
+def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """JSON lines with nulls written out; a folder of parts that appears whole or not at all."""
-    df.write.option("ignoreNullFields", False).json(path)
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def write_ids(df: DataFrame, path: str, id_col: str = "report_id") -> None:
+def write_ids(df: DataFrame, path: str, id_col: str = "report_id", mode: str = "error") -> None:
     """Ids and nothing else, one a line."""
-    df.select(F.col(id_col).cast("string")).write.text(path)
+    df.select(F.col(id_col).cast("string")).write.mode(mode).text(path)
 
 
 def write_losses(df: DataFrame, path: str, columns: tuple[str, ...] = ("step", "loss", "eval_loss", "learning_rate", "epoch")) -> None:
@@ -107,6 +107,12 @@ def dataset_digest(df: DataFrame, *columns: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_rows"), F.sha2(text, 256).alias("digest"))
 
 
+def ordered_digest(df: DataFrame, place: str, *columns: str) -> DataFrame:
+    """One row (n_rows, digest) of the rows in the order of ``place``, from 0 without gaps: each row is hashed together
+    with its place, so the sums of a multiset tell another order, and still nothing is gathered or sorted."""
+    return dataset_digest(df, place, *(c for c in columns or df.columns if c != place))
+
+
 def label_map() -> dict:
     """The rule pack as one object, to be kept beside the data it labelled."""
     return {

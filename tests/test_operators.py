@@ -119,6 +119,11 @@ def test_build(spark, tmp_path):
     out = str(tmp_path / "out")
     manifest = json.loads(build.build(spark, f"file://{source}", f"file://{out}", "CC0", {"train_size": 12, "eval_size": 4}).first()["manifest"])
     assert manifest["counts"] == {"drop_grounding": 4, "drop_no_supervision": 4, "drop_short_narrative": 4, "drop_unsupported_synopsis": 16, "kept": 20, "train": 12, "eval": 4, "reserve": 4}
+    resumed = {"train_size": 12, "eval_size": 4}
+    with pytest.raises(ValueError, match="Insufficient"):
+        build.build(spark, f"file://{source}", f"file://{out}2", "CC0", resumed | {"train_size": 900}, f"file://{tmp_path}/run")
+    again = json.loads(build.build(spark, f"file://{source}", f"file://{out}2", "CC0", resumed, f"file://{tmp_path}/run").first()["manifest"])
+    assert again["counts"] == manifest["counts"] and again["digests"] == manifest["digests"]
     train = spark.read.json(f"{out}/train")
     flags = train.where("copy = 0").select("near_miss_gold", "recovery_no_gold").collect()
     assert train.count() == sum(1 + 2 * r[0] + 2 * r[1] for r in flags) and len(flags) == 12
