@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from narrata.functions.text import let
 from narrata.llm.tables import few_broadcast, text_key
 from narrata.llm.urls import LOWER, UPPER
+from narrata.operators.skew import join_counted
 from narrata.plans.storage import Workspace
 
-WORDS = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
-#: The same in a text whose letters have their case.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases that give a label wherever their words stand.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -45,11 +45,12 @@ GRANTS = (
     ("licensed under cc by nc 4 0", "cc-by-nc"),
 )
 K, SLACK, LEAST = 2, 3, 0.75
+END = -1
 
 
 def words_of(text: Column) -> Column:
     """Words of a text, A-Z lower-cased; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORDS), F.lit(1))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
 def rolling(words: Column, k: int) -> Column:
@@ -69,16 +70,20 @@ def template_grams(spark: SparkSession, phrases=PHRASES, grants=GRANTS, k: int =
 
 
 def votes(docs: DataFrame, id_col: str, text_col: str, grams: DataFrame, k: int) -> DataFrame:
-    """(id, of, template, label, base, places, start, at): for each diagonal, named by the word it would start at, the places
-    of the template that stand there. Repeated rows are one document."""
-    found = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("of"), F.posexplode(rolling(words_of(F.col(text_col)), k)).alias("pos", "gram"))
-    held = few_broadcast(grams.withColumn("h", F.xxhash64("gram")))
+    """(id, of, template, label, base, places, start, at, copies): for each diagonal, named by the word it would start at, the
+    places of the template that stand there. Repeated rows are one document of so many copies. Each document has one more
+    row, of template -1, whose start is its number of words: the end of a text is found like any other k-gram."""
+    ended = F.concat(rolling(words_of(F.col(text_col)), k), F.array(F.lit("")))
+    keyed = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("of"), ended.alias("grams"))
+    found = keyed.select("id", "of", F.posexplode("grams").alias("pos", "gram"))  # the text's hash is not taken anew for each of its words
+    held = few_broadcast(grams.unionByName(grams.sparkSession.createDataFrame([(END, None, None, 0, 0, "")], grams.schema)).withColumn("h", F.xxhash64("gram")))
     met = found.withColumn("h", F.xxhash64("gram")).join(held, ["h", "gram"])  # by the hash, and by the words
-    return met.groupBy("id", "of", "template", "label", "base", "places", (F.col("pos") - F.col("at")).alias("start")).agg(F.collect_set("at").alias("at"))
+    return met.groupBy("id", "of", "template", "label", "base", "places", (F.col("pos") - F.col("at")).alias("start")).agg(F.collect_set("at").alias("at"), F.count("*").alias("copies"))
 
 
 def coverages(found: DataFrame, slack: int) -> DataFrame:
     """Diagonals with their coverage: a phrase's own, a grant's with those up to ``slack`` further on."""
+    found = found.where(F.col("template") != END)
     near = Window.partitionBy("id", "of", "template").orderBy("start").rangeBetween(0, slack)
     merged = F.array_distinct(F.flatten(F.collect_list("at").over(near)))
     held = F.when(F.col("base"), F.col("at")).otherwise(merged)
@@ -109,17 +114,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     row each, judged by their own texts. Other columns are not read, whatever their names. An empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "licenses")
-    found = work.table("coverages", coverages(votes(docs, id_col, text_col, template_grams(docs.sparkSession, phrases, grants, k), k), slack))
+    every = work.table("votes", votes(docs, id_col, text_col, template_grams(docs.sparkSession, phrases, grants, k), k))
     base = F.col("base") & (F.col("coverage") == 1)
     label = F.when(base | (~F.col("base") & (F.col("coverage") >= least)), F.col("label"))
-    facts = found.groupBy("id", "of").agg(
+    facts = coverages(every, slack).groupBy(F.col("id").alias("__id"), F.col("of").alias("__of")).agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
         F.collect_set(F.when(base, F.col("label"))).alias("base_labels"), F.collect_set(label).alias("labels"), F.max(F.when(~F.col("base") | base, F.col("coverage"))).alias("score"),
     )
-    facts = few_broadcast(work.table("facts", facts.withColumnsRenamed({"id": "__id", "of": "__of"})))
-    work.drop("coverages")
-    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("of"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words"))
-    out = rows.join(facts, rows["id"].eqNullSafe(facts["__id"]) & rows["of"].eqNullSafe(facts["__of"]), "left")
+    facts = few_broadcast(work.table("facts", facts))
+    ends = every.where(F.col("template") == END).select("id", "of", F.col("start").cast("long").alias("n_words"), "copies")
+    judged = ends.join(facts, ends["id"].eqNullSafe(facts["__id"]) & (ends["of"] == facts["__of"]), "left").drop("__id", "__of")
+    # null ids get a key, too, and documents of very many copies are met by a broadcast, so no task has all of them
+    key = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")).alias("key")
+    judged = work.table("judged", judged.select(key, "of", *judged.columns[2:]))
+    work.drop("votes", "facts")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("of")).select(key, "id", "of")
+    total = judged.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    out = join_counted(rows, judged, ["key", "of"], total, n="copies")
     joined = lambda c: F.array_join(F.array_sort(F.coalesce(F.col(c), F.array().cast("array<string>"))), ",")
     return out.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", joined("base_labels").alias("base_labels"),
