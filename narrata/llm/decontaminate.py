@@ -5,7 +5,8 @@ after each word the state tells the longest run that ends there and occurs in an
 more are hits, and so are items shorter than a window that end there whole.
 
 Test sets are small beside a corpus, but nothing here counts on it: items go into automata of at most
-``max_words`` words each (a longer item alone has its own), one automaton at a time is gathered and broadcast,
+``max_words`` words each, on average (a longer item alone is not cut), which bounds its states by about twice as many and
+its memory by some 130 MB; one automaton at a time is gathered and broadcast,
 and the documents are matched against each. With one automaton, the usual case, the documents are read once.
 """
 
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from narrata.llm.tables import bound_batches
 from narrata.plans.storage import Workspace
 
 WORD_BYTES = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -146,7 +148,7 @@ class SuffixAutomaton:
 def _automata(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_words: int):
     """The automata, one after another; items are dealt to them by the words before them."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(text_col, F.lit("")).alias("text"))
-    size = F.length("text") + 1  # a bound on the number of words that needs no count
+    size = F.regexp_count("text", F.lit(WORD.pattern))
     whole = items.agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-whole // max_words))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards)))
@@ -157,12 +159,14 @@ def _automata(benchmark: DataFrame, item_col: str, text_col: str, window: int, m
         yield automaton.seal(), shard == shards - 1
 
 
-def match_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_words: int = 20_000_000) -> DataFrame:
+def match_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_words: int = 200_000) -> DataFrame:
     """One row per row of ``docs``: id, n_words, spans (array of begin and end, in words), items (sorted strings).
 
     Null texts have no words. An item of fewer words than ``window`` is one window, an item without words none;
-    items with a null id count as one without a name. Other columns are not read. Empty tables: no rows, or no hits.
+    items with a null id count as one without a name. Texts of any length are read whole, in batches bounded by bytes.
+    Repeated rows and ids give a row each. Other columns are not read. Empty tables: no rows, or no hits.
     """
+    bound_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "decontaminate")
     out, found = docs.select(F.col(id_col), F.col(text_col).alias("__text")), None
     for k, (automaton, last) in enumerate(_automata(benchmark, item_col, item_text_col, window, max_words)):
@@ -228,13 +232,14 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def remove_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, most_covered: float = 0.5, max_words: int = 20_000_000, length_col: str | None = None) -> DataFrame:
+def remove_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, most_covered: float = 0.5, max_words: int = 200_000, length_col: str | None = None) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut out of the texts, all columns stay.
 
     A document of which more than ``most_covered`` of the words are hit goes as a whole. Null and empty texts stay
     as they are. length_col: a column with the number of code points, set anew where a text was cut. All automata
     read the input's texts; their spans are merged before anything is measured or cut, so ``max_words`` changes no result.
     """
+    bound_batches(docs.sparkSession)
     work, out = Workspace(docs.sparkSession, "decontaminate"), docs
     m, n_words, held, new = free_names(docs.columns, "m", "words", "spans", "new")
     for k, (automaton, last) in enumerate(_automata(benchmark, item_col, item_text_col, window, max_words)):

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrata.llm.tables import bound_batches
+
 FEATURES = (
     "log_words", "mean_word", "long_words", "upper", "exclaim", "symbol", "bar", "digit", "stops", "commas", "non_ascii",
     "distinct", "same_next", "top_word", "line_words", "same_lines", "odd_words", "title_words", "bigrams", "entropy",
@@ -174,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     An id labelled twice must agree with itself: with different labels it is left out.
     """
+    bound_batches(docs.sparkSession)
     once = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id"))
     once = once.agg(F.min(label_col).alias("__y"), F.max(label_col).alias("__most")).where("__y = __most")
     once = once.orderBy(F.xxhash64("__id"), "__id").limit(max_train_rows)
@@ -198,8 +201,8 @@ def score(text: Column, model: AdditiveModel) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: id, held_out, score, predicted (1 if score >= 0.5, else 0).
 
-    Labels, language, source and id are no inputs of a score; other columns are not read. Repeated rows give a row
-    each. Without usable labels every score is the same. An empty table gives no rows.
+    Labels, language, source and id are no inputs of a score; other columns are not read. Texts of any length are read
+    whole, in batches bounded by bytes. Repeated rows give a row each. Without usable labels every score is the same. An empty table gives no rows.
     """
     model = train(docs, labels, id_col, text_col, **options)
     scored = docs.select(F.col(id_col), score(F.col(text_col), model).alias("score"))

@@ -11,8 +11,9 @@ from narrata.plans.storage import Workspace
 #: ASCII white space, as a character class for Java's and RE2's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Whole texts go to Python in batches of so many rows, since both sides hold a batch at once.
-SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Whole texts go to Python in batches of so many bytes and rows, since both sides hold a batch at once.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", BATCH_BYTES: str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on batches to Python are bounded by bytes, where the session does not say otherwise. For operators whose
+    results are computed when they are read, after the operator has returned."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, SMALL_BATCHES[BATCH_BYTES])
+
+
 def text_key(text: Column) -> Column:
     """Tells the texts under one id apart."""
     return F.xxhash64(text, F.char_length(text))
