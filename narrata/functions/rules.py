@@ -10,8 +10,6 @@ from narrata.functions.text import WS, any_match, let, rx, text_of, texts, word_
 from narrata.packs import fixed
 
 LEFT, RIGHT = 70, 45
-AVOIDED = rx(r"^\s+(?:was |were |had been )?(?:avoided|prevented|averted|did not occur)\b")
-BEFORE = rx(r"\b(?:before|recover\w*|prior to)\b")
 
 
 def unnegated(c: Column, pattern: str) -> Column:
@@ -25,7 +23,7 @@ def unnegated(c: Column, pattern: str) -> Column:
         clause = F.regexp_replace(F.right(before, F.lit(LEFT)), rx(r"(?s)\A.*(?:[;,]|\bbut\b|\bafter\b)"), "")
         ok = ~clause.rlike(rx(fixed.NEGATION))
         if pattern == fixed.COMPLETED:
-            ok = ok & ~F.left(after, F.lit(RIGHT)).rlike(AVOIDED) & ~clause.rlike(BEFORE)
+            ok = ok & ~F.left(after, F.lit(RIGHT)).rlike(rx(fixed.AVOIDED)) & ~clause.rlike(rx(fixed.BEFORE_EVENT))
         return ok
 
     return any_match(c, rx(pattern), counts)
@@ -49,7 +47,7 @@ def near_miss(parts: Column, happened: Column) -> Column:
     """The first sentence that tells of a near miss and does not prescribe; else "None stated"."""
 
     def tells(s: Column) -> Column:
-        return unnegated(s, fixed.NEAR_MISS) & (s != happened) & (word_count(s) <= 60) & ~s.rlike(rx(fixed.PRESCRIPTIVE)) & ~s.rlike(rx(r"\bfil(?:e|ed|ing)\b"))
+        return unnegated(s, fixed.NEAR_MISS) & (s != happened) & (word_count(s) <= 60) & ~s.rlike(rx(fixed.PRESCRIPTIVE)) & ~s.rlike(rx(fixed.FILED))
 
     return F.coalesce(F.get(F.filter(parts, tells), F.lit(0)), F.lit(fixed.NONE))
 

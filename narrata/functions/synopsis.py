@@ -13,14 +13,6 @@ from narrata.packs import fixed
 from narrata.plans.fence import fence
 
 ROLE_GROUP = rf"\b(?:{fixed.ROLE_MODIFIER}\s+){{0,2}}"
-CLAIMED = r"\b(?:I was|I am|I'm|as|as the|being the|acting) {0}\b|\b{0} \(me\)|\bmyself\b"
-THIRD = r"\b(?:the|my|our) {0}\b|{0}\b[^.]{{0,60}}\b(?:he|him|his|she|her|hers|they|them|their)\b"
-TIDY = (
-    (r"\ba aircraft\b", "an aircraft"),
-    (r"\b(?:an? )?aircraft flight crew\b", "The flight crew"),
-    (r"\baircraft aircraft\b", "aircraft"),
-    (r"\b(?:an? )?aircraft (captain|reporter)\b", "The $1"),
-)
 
 
 def swap(c: Column, pattern: Column | str, new: str) -> Column:
@@ -34,7 +26,7 @@ def generalise_roles(c: Column, narrative: Column) -> Column:
     def step(c: Column, role: str) -> Column:
         whole, reports = rx(rf"{ROLE_GROUP}{role}\b"), r"(?=[^.]{0,40}\breport)"
         absent = ~narrative.rlike(rx(rf"\b{role}\b"))
-        other = narrative.rlike(rx(THIRD.format(role))) & ~narrative.rlike(rx(CLAIMED.format(role)))
+        other = narrative.rlike(rx(fixed.THIRD.format(role))) & ~narrative.rlike(rx(fixed.CLAIMED.format(role)))
         # the narrative is searched for the roles that are told only
         told = F.when(absent, swap(c, whole, "reporter")).when(other, swap(c, whole + reports, "reporter")).otherwise(c)
         return F.when(c.rlike(rx(rf"\b{role}\b")), told).otherwise(c)
@@ -77,7 +69,7 @@ def drop_qualifiers(c: Column, narrative: Column) -> Column:
 
 
 def tidy(c: Column) -> Column:
-    return reduce(lambda text, step: swap(text, rx(step[0]), step[1]), TIDY, strip(swap(c, " +", " ")))
+    return reduce(lambda text, step: swap(text, rx(step[0]), step[1]), fixed.TIDY, strip(swap(c, " +", " ")))
 
 
 def capitalised(c: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from narrata.queries import arriving, claims, documents, lines, reports, scores, splits
+from narrata.queries import arriving, cases, claims, documents, lines, reports, scores, splits
 
-MODULES = (documents, lines, reports, claims, splits, scores, arriving)
+MODULES = (documents, lines, reports, cases, claims, splits, scores, arriving)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
