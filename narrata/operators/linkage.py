@@ -6,7 +6,7 @@ nor partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from narrata.operators import rooms
@@ -37,7 +37,7 @@ def link_groups(rows: DataFrame, report_id: str = "report_id", related: str = "r
 
 
 def fill(sizes: DataFrame, eval_size: int, train_size: int, seed: int, **ranges: int) -> DataFrame:
-    """(group_id, split) for (group_id, n): groups in seeded order go to eval if they fit, else to train if they fit,
+    """(group_id, n, split) for (group_id, n): groups in seeded order go to eval if they fit, else to train if they fit,
     else to reserve.
 
     Whether a group fits depends on all before it. The order is cut into ranges, and what each room takes follows from their
@@ -48,7 +48,7 @@ def fill(sizes: DataFrame, eval_size: int, train_size: int, seed: int, **ranges:
     ordered = work.table("ordered", sizes.select("group_id", n.alias("n"), seeded(seed, F.col("group_id")).alias("at")).repartitionByRange("at").sortWithinPartitions("at"))
     in_eval = rooms.fill_room(ordered, eval_size, **ranges).takes(F.col("at"), F.col("n"))
     in_train = rooms.fill_room(ordered.where(~in_eval), train_size, **ranges).takes(F.col("at"), F.col("n"))
-    return ordered.select("group_id", F.when(in_eval, "eval").when(in_train, "train").otherwise("reserve").alias("split"))
+    return ordered.select("group_id", "n", F.when(in_eval, "eval").when(in_train, "train").otherwise("reserve").alias("split"))
 
 
 def group_split(rows: DataFrame, eval_size: int, train_size: int, seed: int = 42, strict: bool = True) -> DataFrame:
@@ -56,12 +56,30 @@ def group_split(rows: DataFrame, eval_size: int, train_size: int, seed: int = 42
     ``strict``: both parts must come out at their exact size, else ``ValueError``. Repeated report ids count each."""
     linked = rows.join(link_groups(rows), "report_id")
     parts = fill(linked.groupBy("group_id").agg(F.count("*").alias("n")), eval_size, train_size, seed)
-    out = linked.join(parts, "group_id")
-    if strict:
-        got = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
-        if got.get("train", 0) != train_size or got.get("eval", 0) != eval_size:
-            raise ValueError(f"Insufficient eligible groups: train={got.get('train', 0)}, eval={got.get('eval', 0)}")
-    return out
+    if strict:  # the sizes tell, no row is joined for it
+        check_sizes({r["split"]: r["n"] for r in parts.groupBy("split").agg(F.sum("n").alias("n")).collect()}, eval_size, train_size)
+    return linked.join(parts.drop("n"), "group_id")
+
+
+def check_sizes(got: dict[str, int], eval_size: int, train_size: int) -> None:
+    if got.get("train", 0) != train_size or got.get("eval", 0) != eval_size:
+        raise ValueError(f"Insufficient eligible groups: train={got.get('train', 0)}, eval={got.get('eval', 0)}")
+
+
+def observed(split: DataFrame, seen: Observation) -> DataFrame:
+    """``split``, whose rows are counted for :func:`check_observed` while they are written, without a job for it."""
+    lacks = F.col("group_id").isNull() | F.col("report_id").isNull() | F.col("narrative_sha256").isNull()
+    return split.observe(seen, F.count("*").alias("rows"), F.count_if(lacks).alias("lacks"), *(F.count_if(F.col("split") == p).alias(p) for p in PARTS))
+
+
+def check_observed(seen: Observation, eval_size: int, train_size: int) -> None:
+    """``ValueError`` where the rows written were none, had no leakage metadata, or were not as many as they should be."""
+    got = seen.get
+    if not got["rows"]:
+        raise ValueError("Cannot split an empty set")
+    if got["lacks"]:
+        raise ValueError("Missing leakage metadata")
+    check_sizes(got, eval_size, train_size)
 
 
 def leaks(split: DataFrame, keys: tuple[str, ...] = ("report_id", "group_id", "narrative_sha256")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.operators import curate, generate, linkage, places, scoring
@@ -35,8 +35,15 @@ def build(spark: SparkSession, source: str, out: str, license: str | None, confi
     reports = run.stage("reports", lambda: places.line_places(lines, "pos"), ("lines",))
     curate.frequencies(reports).write.mode(mode).json(f"{out}/column_inventory")
     curated = run.stage("curated", lambda: curate.curate(reports, "pos", c["narrative_chars"], c["max_chars"]), ("reports",), _some(c, "narrative_chars", "max_chars"))
-    split = run.stage("split", lambda: linkage.group_split(curate.eligible(curated).drop("gold"), c["eval_size"], c["train_size"], c["seed"]), ("curated",), _some(c, "eval_size", "train_size", "seed"))
-    linkage.assert_disjoint(split)
+    seen = Observation("split")
+
+    def divided() -> DataFrame:
+        return linkage.observed(linkage.group_split(curate.eligible(curated).drop("gold"), c["eval_size"], c["train_size"], c["seed"]), seen)
+
+    fits = lambda: linkage.check_observed(seen, c["eval_size"], c["train_size"])
+    split = run.stage("split", divided, ("curated",), _some(c, "eval_size", "train_size", "seed"), fits)
+    if leak := linkage.leaks(split).orderBy("key", "value").limit(1).collect():
+        raise ValueError(f"Evaluation leaked into training ({leak[0]['key']})")
     train, held = (split.where(F.col("split") == k).drop("split") for k in ("train", "eval"))
     more = linkage.oversample(train, {"near_miss_gold": c["oversample_near_miss"], "recovery_no_gold": c["oversample_recovery_no"]})
     digests = {}
@@ -65,8 +72,11 @@ def evaluate(evaluation: DataFrame, outputs: DataFrame, smoke: bool = False) ->
     paired = scoring.pair(evaluation, outputs)
     sides = F.array(*(F.struct(F.lit(m).alias("model"), F.col(m)["text"].alias("text"), F.col(m)["tokens"].alias("tokens")) for m in ("base", "adapter")))
     rows = paired.select("report_id", "narrative", "gold_text", "near_miss_gold", F.explode(sides).alias("x")).select("report_id", "narrative", "gold_text", "near_miss_gold", "x.*")
-    scores = Workspace(rows.sparkSession, "evaluate").table("scores", scoring.score(rows))
-    table = scoring.checked_metrics(scores)
+    seen = Observation("scores")
+    scores = Workspace(rows.sparkSession, "evaluate").table("scores", scoring.score(rows).observe(seen, F.count("*").alias("rows")))
+    if not seen.get["rows"]:
+        raise ValueError("Cannot evaluate an empty set")
+    table = scoring.metrics(scores)
     return scores, table, scoring.gates(table, smoke)
 
 

@@ -36,8 +36,10 @@ class StagedRun:
         entry = self._entry(name)
         return entry is not None and entry["key"] == self.keys.get(name)
 
-    def stage(self, name: str, make: Callable[[], DataFrame], needs: tuple[str, ...] = (), settings: dict | None = None) -> DataFrame:
-        """The table of a stage: as it was written, or else made, written and entered. Needs must have been given or run."""
+    def stage(self, name: str, make: Callable[[], DataFrame], needs: tuple[str, ...] = (), settings: dict | None = None, check: Callable[[], None] | None = None) -> DataFrame:
+        """The table of a stage: as it was written, or else made, written and entered. Needs must have been given or run.
+
+        check: called when the table has been written and before it is entered; what it raises leaves the stage unfinished."""
         if missing := [n for n in needs if n not in self.keys]:
             raise ValueError(f"{name} needs {missing[0]}, which has not run")
         made_of = [name, settings or {}, fixed.PACK_VERSION, [self.keys[n] for n in needs]]
@@ -50,6 +52,8 @@ class StagedRun:
         fs.delete(part, True)
         with freed_shuffles(self.spark):
             rows.write.parquet(f"{path}.part")
+        if check:
+            check()
         fs.delete(self._path(path), True)
         if not fs.rename(part, self._path(path)):
             raise OSError(f"Cannot write {path}")

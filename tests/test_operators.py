@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from narrata.operators import checkpoints, curate, generate, linkage, scoring
@@ -77,6 +78,20 @@ def test_split_falls_short_and_leaks_are_found(spark):
         linkage.leaks(df.withColumn("split", F.lit("eval")))
 
 
+def test_counts_come_from_the_write(spark, tmp_path):
+    rows = spark.createDataFrame(rows_of_groups(), ROW).withColumns({"group_id": F.col("report_id"), "split": F.when(F.col("report_id") < "010", "eval").otherwise("train")})
+    for change, sizes, says in ((rows, (10, 30), None), (rows, (11, 29), "train=30, eval=10"), (rows.withColumn("narrative_sha256", F.lit(None).cast("string")), (10, 30), "Missing"), (rows.limit(0), (0, 0), "empty")):
+        seen = Observation()
+        linkage.observed(change, seen).write.mode("overwrite").parquet(f"file://{tmp_path}/split")
+        if says:
+            with pytest.raises(ValueError, match=says):
+                linkage.check_observed(seen, *sizes)
+        else:
+            linkage.check_observed(seen, *sizes)
+    with pytest.raises(ValueError, match="empty set"):
+        build.evaluate(spark.createDataFrame([], "report_id string, narrative string, gold_text string, near_miss_gold boolean"), spark.createDataFrame([], "report_id string, base struct<text string, tokens int>, adapter struct<text string, tokens int>"))
+
+
 METRIC = dict(valid_schema=1.0, factor_acc=0.5, phase_acc=0.5, grounding_fail=0.05, recoverable_known_acc=0.5, gold_yes=1, gold_no=1, known_yes=1, known_no=1)
 
 
