@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.tables import SMALL_BATCHES, text_key, with_columns_kept
+from narrata.llm.tables import SMALL_BATCHES, few_broadcast, text_key, with_columns_kept
 from narrata.operators.components import connected_components
 from narrata.operators.skew import join_counted
 from narrata.plans.storage import Workspace, session_settings
@@ -198,18 +198,21 @@ def _dealt(reps: DataFrame, max_bits: int, most_members: int) -> DataFrame:
         return dealt.select("t", "key", F.lit(0).cast("long").alias("part"), "fp", "rep")
     # sums over bins of groups tell where a crowded group can be; there are at most len(masks) * total / most_members
     bins = F.pmod(F.xxhash64("t", "key"), F.lit(max(1 << 16, 4 * len(masks) * total // most_members)))
-    full = dealt.groupBy(bins.alias("bin")).count().where(F.col("count") > most_members).select("bin")
-    crowded = dealt.withColumn("bin", bins).join(F.broadcast(full), "bin", "left_semi").groupBy("t", "key").agg(F.ceil(F.count("*") / (most_members / 2)).alias("k"), F.count("*").alias("n")).where(F.col("n") > most_members)
-    shares = dealt.join(F.broadcast(crowded.select("t", "key", "k")), ["t", "key"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    work = Workspace(reps.sparkSession, "dealt")
+    full = few_broadcast(work.table("full", dealt.groupBy(bins.alias("bin")).count().where(F.col("count") > most_members).select("bin")))
+    counted = dealt.withColumn("bin", bins).join(full, "bin", "left_semi").groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > most_members)
+    crowded = few_broadcast(work.table("crowded", counted.select("t", "key", F.ceil(F.col("n") / (most_members / 2)).alias("k"))))
+    shares = dealt.join(crowded, ["t", "key"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("k"))
     each = shares.select("t", "key", "fp", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
     return each.select("t", "key", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("part"), "fp", "rep")
 
 
-def fingerprint_links(reps: DataFrame, max_bits: int = 4, most_members: int = 1 << 20) -> DataFrame:
+def fingerprint_links(reps: DataFrame, max_bits: int = 4, most_members: int = 1 << 14) -> DataFrame:
     """(src, dst): links that connect the same fingerprints as all pairs at most ``max_bits`` apart would.
 
-    reps: distinct (fp long, rep long), rep naming the fingerprint. most_members: fingerprints that one index holds.
+    reps: distinct (fp long, rep long), rep naming the fingerprint. most_members: fingerprints that one index
+    holds; its walk takes the square of that at worst, some seconds for unrelated codes.
     """
     group = ["t", "key", "part"]
     dealt = _dealt(reps, max_bits, most_members).repartition(*group).sortWithinPartitions(*group)
