@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from narrata.operators import packets
 from narrata.plans import build
 from narrata.sources import files
 
@@ -24,6 +25,7 @@ def main() -> None:
     e.add_argument("--predictions", required=True)
     e.add_argument("--output", required=True)
     e.add_argument("--limit", type=int)
+    e.add_argument("--seed", type=int, default=42)
     args = parser.parse_args()
     spark = SparkSession.builder.getOrCreate()
     if args.command == "build":
@@ -41,6 +43,9 @@ def main() -> None:
     files.write_jsonl(scores, f"{args.output}/scores")
     files.write_jsonl(table, f"{args.output}/metrics")
     files.write_jsonl(gates, f"{args.output}/gates")
+    packets.report_lines(table, gates).coalesce(1).orderBy("place").select("line").write.text(f"{args.output}/report")
+    for name, blocks in (("rubric", packets.rubric_packet(rows, told, scores, args.seed)), ("lessons", packets.lesson_packet(rows, told, args.seed))):
+        blocks.orderBy("rank").select("block").write.text(f"{args.output}/{name}")
 
 
 if __name__ == "__main__":

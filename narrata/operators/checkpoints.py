@@ -29,3 +29,22 @@ def check_resumable(previous: dict, config: dict, train_sha256: str, train_rows:
         raise ValueError("Resume dataset or training config differs from checkpoint")
     if train_rows is not None and previous.get("train_rows") != train_rows:
         raise ValueError("Resume training subset differs from checkpoint")
+
+
+#: Settings of which outputs depend, so a run may not change them for weights that exist.
+BOUND_SETTINGS = ("model_id", "model_revision", "narrative_tokens", "max_seq_length")
+
+
+def settings_for(saved: dict | None, requested: dict | None) -> dict:
+    """The settings to run saved weights with: the requested ones, if they agree with the saved ones in what outputs
+    depend on, else those that were saved. ``ValueError`` where neither is there or they disagree."""
+    if saved is None:
+        if requested is None:
+            raise ValueError("No saved configuration; name one")
+        return requested
+    if requested is None:
+        return saved
+    for key in BOUND_SETTINGS:
+        if requested.get(key) != saved.get(key):
+            raise ValueError(f"Configuration differs from the saved one: {key}")
+    return requested

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from typing import TextIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,24 @@ def read_narratives(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.col("_metadata.file_path").alias("id"), F.col("value").alias("narrative"))
 
 
+def narratives_of(spark: SparkSession, text: str | None = None, file: str | None = None, batch: str | None = None, stdin: TextIO | None = None) -> DataFrame:
+    """(id, narrative) of exactly one source: a text, a text file, JSON lines with narratives and ids, or a stream of
+    characters. ``ValueError`` for none, for several, and for a narrative that is missing or blank."""
+    given = [x for x in (text, file, batch, stdin) if x is not None]
+    if len(given) != 1:
+        raise ValueError("Name exactly one of text, file, batch and stdin")
+    if batch is not None:
+        rows = read_jsonl(spark, batch, NARRATIVE_SCHEMA)
+    elif file is not None:
+        rows = spark.read.option("wholetext", True).text(file).select(F.lit(None).cast("string").alias("id"), F.col("value").alias("narrative"))
+    else:
+        rows = spark.createDataFrame([(None, text if text is not None else stdin.read())], NARRATIVE_SCHEMA)
+    blank = rows.where(~F.coalesce(F.col("narrative"), F.lit("")).rlike(r"(?U)\S")).limit(1)
+    if rows.isEmpty() or not blank.isEmpty():
+        raise ValueError("A narrative must be a text that is not blank")
+    return rows
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """JSON lines with nulls written out; a folder of parts that appears whole or not at all."""
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
