@@ -1,16 +1,19 @@
-"""Small inputs over all cores."""
+"""Inputs over all cores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Tasks a core that rows are dealt into, so that no task holds more than a small share of them.
+TASKS_A_CORE = 8
 
-def spread(rows: DataFrame, splits: int | None = None) -> DataFrame:
-    """``rows`` of a scan, dealt over as many tasks as there are cores where it has fewer ``splits`` than that.
 
-    A file of one row group is one task, whatever rules follow; moving its raw rows costs microseconds each, the rules
-    milliseconds. Inputs of many files are left as they are, without a shuffle. Not for plans with shuffles of their
-    own, which counting the splits would run.
+def spread(rows: DataFrame, files: int | None = None) -> DataFrame:
+    """``rows`` of a scan, dealt over several tasks a core where it has fewer ``files`` than that.
+
+    A row group is one task, whatever rules follow and however many splits its file is cut into: the splits in which no
+    row group begins are empty. Moving raw rows costs microseconds each, the rules a large part of a millisecond. Inputs
+    of many files are left as they are, without a shuffle.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if (rows.rdd.getNumPartitions() if splits is None else splits) < cores else rows
+    tasks = TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if (len(rows.inputFiles()) if files is None else files) < tasks else rows
