@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.functions.text import acronyms, designators, folded, let, number_tokens, plain_number, rx, text_of, texts, upper_tokens
+from narrata.functions.text import acronyms, designators, folded, let, number_tokens, plain_number, rx, rx_low, search, text_of, texts, upper_tokens
 from narrata.packs import fixed
 from narrata.plans.fence import fence
 
@@ -18,12 +18,13 @@ class Source:
     """What outputs are held against, computed once per source text."""
 
     text: Column
+    low: Column
     numbers: Column
     tokens: Column
 
     @classmethod
     def of(cls, c: Column) -> Source:
-        return cls(text_of(c), F.transform(number_tokens(c), plain_number), upper_tokens(c))
+        return cls(text_of(c), folded(text_of(c)), F.transform(number_tokens(c), plain_number), upper_tokens(c))
 
     def columns(self, prefix: str) -> dict[str, Column]:
         """The parts as named columns, for ``DataFrame.withColumns``; ``named`` finds them again."""
@@ -67,12 +68,12 @@ def unsupported_classes(source: Source, output: Column) -> Column:
     A class is looked for only where one of its heads stands, and the source is searched only for what is claimed.
     """
 
-    def found(heads: Column) -> Column:
+    def found(heads: Column, low: Column) -> Column:
         stands = lambda name: F.arrays_overlap(heads, texts(HEADS[name]))
-        classes = (F.when(stands(name) & text_of(output).rlike(rx(claim)) & ~source.text.rlike(rx(evidence)), name) for name, claim, evidence in fixed.EVENT_CLASSES)
+        classes = (F.when(stands(name) & low.rlike(rx_low(claim)) & ~search(source.low, evidence), name) for name, claim, evidence in fixed.EVENT_CLASSES)
         return F.when(F.size(heads) > 0, F.array_compact(F.array(*classes))).otherwise(texts([]))
 
-    return let(found, claim_heads(text_of(output)))
+    return let(found, claim_heads(text_of(output)), folded(text_of(output)))
 
 
 def grounding_flags(source: Source, output: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from narrata.functions.codes import lookup, split_codes
-from narrata.functions.text import WS, any_match, let, rx, text_of, texts, word_count
+from narrata.functions.codes import split_codes
+from narrata.functions.text import WS, any_match, folded, let, rx, rx_low, tells, text_of, texts, word_count
 from narrata.packs import fixed
 
 LEFT, RIGHT = 70, 45
@@ -20,13 +20,13 @@ def unnegated(c: Column, pattern: str) -> Column:
     """
 
     def counts(before: Column, after: Column) -> Column:
-        clause = F.regexp_replace(F.right(before, F.lit(LEFT)), rx(r"(?s)\A.*(?:[;,]|\bbut\b|\bafter\b)"), "")
-        ok = ~clause.rlike(rx(fixed.NEGATION))
+        clause = F.regexp_replace(F.right(before, F.lit(LEFT)), r"(?sU)\A.*(?:[;,]|\bbut\b|\bafter\b)", "")
+        ok = ~clause.rlike(rx_low(fixed.NEGATION))
         if pattern == fixed.COMPLETED:
-            ok = ok & ~F.left(after, F.lit(RIGHT)).rlike(rx(fixed.AVOIDED)) & ~clause.rlike(rx(fixed.BEFORE_EVENT))
+            ok = ok & ~F.left(after, F.lit(RIGHT)).rlike(rx_low(fixed.AVOIDED)) & ~clause.rlike(rx_low(fixed.BEFORE_EVENT))
         return ok
 
-    return any_match(c, rx(pattern), counts)
+    return let(lambda low: F.when(tells(low, pattern), any_match(low, rx_low(pattern), counts)).otherwise(F.lit(False)), folded(c))
 
 
 def recoverable(parts: Column) -> Column:
@@ -46,10 +46,10 @@ def recoverable(parts: Column) -> Column:
 def near_miss(parts: Column, happened: Column) -> Column:
     """The first sentence that tells of a near miss and does not prescribe; else "None stated"."""
 
-    def tells(s: Column) -> Column:
+    def told(s: Column) -> Column:
         return unnegated(s, fixed.NEAR_MISS) & (s != happened) & (word_count(s) <= 60) & ~s.rlike(rx(fixed.PRESCRIPTIVE)) & ~s.rlike(rx(fixed.FILED))
 
-    return F.coalesce(F.get(F.filter(parts, tells), F.lit(0)), F.lit(fixed.NONE))
+    return F.coalesce(F.get(F.filter(parts, told), F.lit(0)), F.lit(fixed.NONE))
 
 
 def without_labels(s: Column) -> Column:
@@ -78,12 +78,15 @@ def contributors(narrative: Column, human_factors: Column, factors: Column, most
     codes = F.concat(split_codes(human_factors), split_codes(factors))
     text = text_of(narrative)
 
-    def phrase(code: Column) -> Column:
-        pattern = F.concat(F.lit("(?iU)"), lookup(fixed.CONTRIBUTOR_PHRASES, code))
-        found = F.regexp_substr(text, pattern)
-        before = F.right(F.left(text, F.regexp_instr(text, pattern) - 1), F.lit(25))
+    def attested(pattern: str) -> Column:
+        found = F.regexp_substr(text, F.lit(rx(pattern)))
+        before = F.right(F.left(text, F.regexp_instr(text, F.lit(rx(pattern))) - 1), F.lit(25))
         return F.when(found.isNotNull() & ~before.rlike(rx(fixed.NEGATION)), found)
 
+    def phrase(code: Column) -> Column:
+        # a pattern that is a literal is compiled once, one looked up anew for each code
+        return F.coalesce(*(F.when(code == name, attested(pattern)) for name, pattern in fixed.CONTRIBUTOR_PHRASES.items()))
+
     found = F.array_compact(F.transform(codes, phrase))
     add = lambda got, p: F.when(F.exists(got, lambda q: F.lower(q) == F.lower(p)), got).otherwise(F.array_append(got, p))
     return F.slice(F.aggregate(found, texts([]), add), 1, most)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.functions.grounding import Source, any_flag, grounding_flags, with_source
-from narrata.functions.text import content_words, folded, let, overlap, replace_each, rx, sentences, strip, text_of, texts, word_count
+from narrata.functions.text import content_words, folded, let, overlap, replace_each, rx, search, sentences, strip, text_of, texts, word_count
 from narrata.packs import fixed
 from narrata.plans.fence import fence
 
@@ -107,7 +107,7 @@ def supported_synopsis(df: DataFrame, synopsis: str, narrative: str, out: str =
     none = F.struct(texts([]).alias("all"), texts([]).alias("only"))
     split = lambda a, b: F.struct(a.alias("all"), F.filter(F.array_except(a, b), lambda w: w.rlike(whole_event)).alias("only"))
     # narratives that guess nowhere, nearly all, are not searched sentence by sentence
-    df = df.withColumn("__hedged", F.when(text.rlike(rx(fixed.HEDGE)), let(split, told_words(guesses(True)), told_words(guesses(False)))).otherwise(none))
+    df = df.withColumn("__hedged", F.when(search(source.low, fixed.HEDGE), let(split, told_words(guesses(True)), told_words(guesses(False)))).otherwise(none))
     df = df.withColumn("__told", generalise_types(generalise_roles(told, text), text))
     df = fence(df, "__hedged", "__told")
     df = fence(df.withColumn("__claims", sentences(tidy(drop_qualifiers(F.col("__told"), text)))), "__claims")
@@ -121,7 +121,7 @@ def supported_synopsis(df: DataFrame, synopsis: str, narrative: str, out: str =
         return F.when(event & let(attested, content_words(s)), ~any_flag(grounding_flags(source, s))).otherwise(F.lit(False))
 
     high = reduce(Column.__or__, (F.lower(told).contains(p) & ~F.lower(text).contains(p) for p in fixed.AIRPORT_PHRASES))
-    df = df.withColumn("__ok", F.when(text.rlike(rx(fixed.UNSURE)) | high, F.lit(None)).otherwise(F.transform("__claims", lambda s: F.struct(s.alias("s"), holds(s).alias("ok")))))
+    df = df.withColumn("__ok", F.when(search(source.low, fixed.UNSURE) | high, F.lit(None)).otherwise(F.transform("__claims", lambda s: F.struct(s.alias("s"), holds(s).alias("ok")))))
     kept = F.slice(F.transform(F.filter("__ok", lambda x: x["ok"]), lambda x: capitalised(x["s"])), 1, 2)
     found = F.when(F.coalesce(F.get("__ok", F.lit(0))["ok"], F.lit(False)), kept).otherwise(texts([]))
     df = df.withColumn(out, F.coalesce(F.col(given), found) if given else found)

@@ -7,23 +7,41 @@ white space of any script. Null text counts as empty.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from narrata.functions.patterns import by_letter, lowered, needed
 from narrata.packs import fixed
 
 #: White space of any script, with the separators U+001C to U+001F.
 WS = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
+WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
 #: Code points that are no characters and stand in no text; were the first in one, it would become the second.
 MARK, OTHER = "\ufdd0", "\ufdd1"
 
 
 def rx(pattern: str, cased: bool = False) -> str:
-    """``pattern`` with Unicode classes, and any case unless ``cased``."""
-    return ("(?U)" if cased else "(?iU)") + pattern
+    """``pattern`` with Unicode classes, and any case unless ``cased``; long alternations go by their first letters."""
+    return "(?U)" + pattern if cased else "(?iU)" + by_letter(pattern)
+
+
+def rx_low(pattern: str) -> str:
+    """``rx(pattern)`` for texts that are ``folded``, where letters are compared as they are."""
+    return "(?U)" + by_letter(lowered(pattern))
+
+
+def tells(low: Column, pattern: str) -> Column:
+    """Whether ``folded`` text has one of the plain texts that each match of ``pattern`` needs."""
+    return reduce(Column.__or__, map(low.contains, needed(pattern)), F.lit(not needed(pattern)))
+
+
+def search(low: Column, pattern: str) -> Column:
+    """Whether ``pattern``, of any case, is found in ``folded`` text; searched for only where ``tells`` lets it be."""
+    return tells(low, pattern) & low.rlike(rx_low(pattern))
 
 
 def let(use: Callable[..., Column], *values: Column) -> Column:
@@ -36,7 +54,8 @@ def let(use: Callable[..., Column], *values: Column) -> Column:
 
 def folded(c: Column) -> Column:
     """``c`` in lower case, with the four letters that patterns of any case take for plain ones as those."""
-    return F.lower(F.translate(c, "\u017f\u0131\u0130\u212a", "siik"))
+    plain = F.octet_length(c) == F.length(c)
+    return F.lower(F.when(plain, c).otherwise(F.translate(c, "\u017f\u0131\u0130\u212a", "siik")))
 
 
 def text_of(c: Column) -> Column:
@@ -45,7 +64,7 @@ def text_of(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """``c`` without white space at its ends; null: empty."""
-    return F.regexp_replace(text_of(c), rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(text_of(c), F.lit(WS_CHARS))
 
 
 def texts(values) -> Column:
@@ -67,7 +86,7 @@ def sentences(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of words between white space."""
-    return F.regexp_count(text_of(c), F.lit(f"{NOT_WS}+"))
+    return F.regexp_count(text_of(c), F.lit(f"(?:[!-~]++|{NOT_WS})++"))
 
 
 def content_words(c: Column) -> Column:
