@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.plans.storage import fresh_path
+from narrata.plans.storage import Workspace, fresh_path
 from narrata.queries.reports import CHEAP_FUNNEL
 from narrata.queries.splits import GROUPS, linked_rows
 from narrata.queries.templates import reports
@@ -14,12 +14,22 @@ from narrata.streaming import components, funnel
 BATCHES = 4
 
 
-def streamed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of linked reports that came in four batches, one folder of files each, dealt by id."""
-    path, rows = fresh_path(spark, "arriving"), linked_rows(spark, sf_dir).select("report_id", "related_ids", "narrative_sha256")
+def arriving(rows: DataFrame, batch: Column) -> DataFrame:
+    """A stream of ``rows``, which arrive in four batches by ``batch``, 0 to 3; each is a file a core, written by as many tasks.
+
+    The rows are worked out once, into a table of their own, not once for each batch."""
+    spark = rows.sparkSession
+    path, cores = fresh_path(spark, "arriving"), spark.sparkContext.defaultParallelism
+    dealt = Workspace(spark, "arriving").table("dealt", rows.withColumn("__batch", batch))
     for k in range(BATCHES):
-        rows.where(F.pmod(F.xxhash64("report_id"), F.lit(BATCHES)) == k).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        dealt.where(F.col("__batch") == k).drop("__batch").repartition(cores).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", cores).parquet(path)
+
+
+def streamed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of linked reports that came in four batches, dealt by id."""
+    rows = linked_rows(spark, sf_dir).select("report_id", "related_ids", "narrative_sha256")
+    stream = arriving(rows, F.pmod(F.xxhash64("report_id"), F.lit(BATCHES)))
     store = components.ComponentStore(spark, fresh_path(spark, "components"))
     components.link_stream(stream, store).awaitTermination()
     ids = rows.select("report_id").distinct()
@@ -28,10 +38,8 @@ def streamed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports by the first of the cheap filters; they came in four batches, later places before earlier ones."""
-    path, rows = fresh_path(spark, "arriving"), reports(spark, sf_dir).select("pos", "report_id", "narrative", "synopsis", "factor")
-    for k in range(BATCHES):
-        rows.where(F.pmod(-F.col("pos"), F.lit(BATCHES)) == k).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = reports(spark, sf_dir).select("pos", "report_id", "narrative", "synopsis", "factor")
+    stream = arriving(rows, F.pmod(-F.col("pos"), F.lit(BATCHES)))
     store = funnel.FunnelStore(spark, fresh_path(spark, "funnel-store"))
     funnel.funnel_stream(stream, store).awaitTermination()
     return store.funnel()

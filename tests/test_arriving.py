@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from narrata.operators.components import connected_components
+from narrata.queries import arriving
 from narrata.streaming.components import ComponentStore
 
 
@@ -27,3 +29,12 @@ def test_components_by_batches(spark, tmp_path, shape):
     assert nodes.count() == nodes.select("node").distinct().count()  # written once each
     rows = spark.read.parquet(f"{tmp_path}/store/roots").where("batch = 2").count()
     assert rows < nodes.count() / 2
+
+
+def test_a_batch_is_written_by_many_tasks_and_taken_at_once(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").alias("pos"))
+    stream = arriving.arriving(rows, F.col("pos") % arriving.BATCHES)
+    seen = []
+    take = lambda df, k: seen.append((k, df.count(), df.select(F.input_file_name()).distinct().count()))
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(k, 1000, spark.sparkContext.defaultParallelism) for k in range(arriving.BATCHES)]
