@@ -74,22 +74,25 @@ def prompt(narrative: Column) -> Column:
 def gold(df: DataFrame, out: str = "gold", given: str | None = None) -> DataFrame:
     """``df`` with the gold brief that the rules read from ``narrative``, ``synopsis`` and the coded fields; null
     where the synopsis lacks support or the rendered brief would not parse. Evidence columns ``source_*`` stay.
+    Narratives of unsupported synopses, which have no brief, are read no further.
     given: a column of supported synopses where they are known."""
     df = supported_synopsis(df, "synopsis", "narrative", given=given)
-    df = df.withColumns({"__happened": F.array_join("supported", " "), "__outcome": rules.recoverable(F.col("source_parts"))})
+    live = F.size("supported") > 0
+    parts, narrative = F.when(live, F.col("source_parts")).otherwise(texts([])), F.when(live, F.col("narrative"))
+    df = df.withColumns({"__happened": F.array_join("supported", " "), "__outcome": rules.recoverable(parts)})
     df = fence(df, "__happened", "__outcome")
-    df = df.withColumn("__almost", rules.near_miss(F.col("source_parts"), F.col("__happened")))
+    df = df.withColumn("__almost", rules.near_miss(parts, F.col("__happened")))
     df = fence(df, "__almost")
     evidence = F.col("__outcome.evidence")
     note = F.when((word_count(evidence) <= 40) & ~F.col("__happened").contains(evidence), evidence).otherwise(F.lit(""))
     values = (
-        F.col("__happened"), F.col("__almost"), map_phase(F.col("phase")), map_factor(F.col("factor"), F.col("narrative"), F.col("reporter_function")),
-        rules.contributors(F.col("narrative"), F.col("human_factors"), F.col("contributors")), F.col("__outcome.label"), note,
-        rules.lesson(F.col("source_parts"), F.col("__happened"), F.col("__almost")),
+        F.col("__happened"), F.col("__almost"), map_phase(F.col("phase")), map_factor(F.col("factor"), narrative, F.col("reporter_function")),
+        rules.contributors(narrative, F.col("human_factors"), F.col("contributors")), F.col("__outcome.label"), note,
+        rules.lesson(parts, F.col("__happened"), F.col("__almost")),
     )
     df = df.withColumn("__gold", F.struct(*(v.alias(k) for k, v in zip(FIELDS, values, strict=True))))
     df = fence(df, "__gold")
-    df = parse(fence(df.withColumn("gold_text", render(F.col("__gold"))), "gold_text"), "gold_text", "__parsed", "__error")
-    keep = (F.size("supported") > 0) & F.col("__error").isNull()
+    df = parse(fence(df.withColumn("gold_text", F.when(live, render(F.col("__gold")))), "gold_text"), "gold_text", "__parsed", "__error")
+    keep = live & F.col("__error").isNull()
     df = df.withColumns({out: F.when(keep, F.col("__gold")), "gold_text": F.when(keep, F.col("gold_text"))})
     return fence(df.drop("__happened", "__outcome", "__almost", "__gold", "__parsed", "__error"), out, "gold_text")

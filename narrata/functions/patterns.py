@@ -48,19 +48,19 @@ def alternatives(p: str) -> list[str]:
     return [*parts, p[start:]]
 
 
-def first_letters(p: str) -> set[str] | None:
-    """The letters a to z, lower-cased, with one of which each match of an alternative begins; None where that isn't plain."""
+def first_letters(p: str, cased: bool = False) -> set[str] | None:
+    """The letters a to z, lower-cased unless ``cased``, with one of which each match of an alternative begins; None where that isn't plain."""
     found, at = set(), 2 * p.startswith(r"\b")
     while at < len(p):
         if p.startswith("(?:", at):
             end = _closing(p, at)
-            inner = [first_letters(a) for a in alternatives(p[at + 3 : end - 1])]
+            inner = [first_letters(a, cased) for a in alternatives(p[at + 3 : end - 1])]
             if None in inner:
                 return None
             found |= set().union(*inner)
         elif _PLAIN.match(p[at]):
             end = at + 1
-            found.add(p[at].lower())
+            found.add(p[at] if cased else p[at].lower())
         else:
             return None
         many = _MAYBE.match(p, end)
@@ -71,13 +71,13 @@ def first_letters(p: str) -> set[str] | None:
 
 
 @lru_cache(maxsize=None)
-def by_letter(p: str) -> str:
-    """A pattern of any case with the same matches as ``p``, its alternatives tried by first letter in the order they have.
+def by_letter(p: str, cased: bool = False) -> str:
+    """A pattern of any case, or of that written, with the same matches as ``p``, its alternatives tried by first letter in the order they have.
 
     Alternatives of different letters exclude each other, so only the order among those of one letter counts. Patterns with
     numbered groups, or with an alternative whose first letter isn't plain, come back as they are.
     """
-    edge = p.startswith(r"\b(?:") and _closing(p, 2) >= len(p) - 2 and p[_closing(p, 2) :] in ("", r"\b")
+    edge = p.startswith(r"\b(?:") and len(alternatives(p)) == 1 and p[_closing(p, 2) :][:1] not in tuple("?*+{")
     body = p[5 : _closing(p, 2) - 1] if edge else p
     parts = alternatives(body)
     if re.search(r"(?<!\\)\((?!\?)", p):
@@ -85,7 +85,7 @@ def by_letter(p: str) -> str:
     # an edge that all alternatives begin with is tried once
     own = not edge and all(a.startswith(r"\b") for a in parts)
     parts = [a[2:] for a in parts] if own else parts
-    letters = [first_letters(a) for a in parts]
+    letters = [first_letters(a, cased) for a in parts]
     if None in letters:
         return p
     every = sorted(set().union(*letters))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from narrata.functions.codes import split_codes
-from narrata.functions.text import WS, any_match, folded, let, rx, rx_low, tells, text_of, texts, word_count
+from narrata.functions.text import WS, any_match, folded, let, rx, rx_low, search, tells, text_of, texts, word_count
 from narrata.packs import fixed
 
 LEFT, RIGHT = 70, 45
@@ -68,7 +68,7 @@ def lesson(parts: Column, *exclude: Column) -> Column:
         for other in exclude:
             fits = fits & (s != other)
         # the dearest pattern is tried last, on what passed all others
-        return fits & (s.rlike(rx(fixed.LESSON_START)) | s.rlike(rx(fixed.LESSON_MODAL))) & word_count(s).between(5, 35) & ~s.rlike(rx(fixed.ANAPHORA)) & ~s.rlike(rx(fixed.NOT_A_LESSON))
+        return fits & (s.rlike(rx(fixed.LESSON_START)) | let(lambda low: search(low, fixed.LESSON_MODAL), folded(s))) & word_count(s).between(5, 35) & ~s.rlike(rx(fixed.ANAPHORA)) & ~s.rlike(rx(fixed.NOT_A_LESSON))
 
     return F.coalesce(F.get(F.reverse(F.filter(clean, recommends)), F.lit(0)), F.lit(fixed.NO_LESSON))
 

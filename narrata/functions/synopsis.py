@@ -33,9 +33,13 @@ def generalise_roles(c: Column, narrative: Column) -> Column:
 
     steps = lambda c: reduce(lambda c, role: let(lambda c: step(c, role), c), fixed.ROLES, c)
     c = let(lambda c: F.when(c.rlike(rx(rf"\b(?:{'|'.join(fixed.ROLES)})\b")), steps(c)).otherwise(c), c)
-    c = swap(c, rx(r"\breporter (?:pilot|personnel|crew|controller)\b"), "reporter")
-    c = swap(c, rx(rf"\b{fixed.ROLE_MODIFIER}\s+(?=reporter\b)"), "")
-    return swap(c, rx(r"\breporter reporter\b"), "reporter")
+
+    def plainer(c: Column) -> Column:
+        c = swap(c, rx(r"\breporter (?:pilot|personnel|crew|controller)\b"), "reporter")
+        c = swap(c, rx(rf"\b{fixed.ROLE_MODIFIER}\s+(?=reporter\b)"), "")
+        return swap(c, rx(r"\breporter reporter\b"), "reporter")
+
+    return let(lambda c: F.when(folded(c).contains("reporter"), plainer(c)).otherwise(c), c)
 
 
 def generalise_types(c: Column, narrative: Column) -> Column:
@@ -68,8 +72,14 @@ def drop_qualifiers(c: Column, narrative: Column) -> Column:
     return let(lambda c: F.when(c.rlike(rx(rf"\b(?:{fixed.QUALIFIERS}){before}")), reduce(dropped, QUALIFIER_PASSES, c)).otherwise(c), c)
 
 
+#: What every pattern of the last steps needs.
+TIDIED = "aircraft"
+
+
 def tidy(c: Column) -> Column:
-    return reduce(lambda text, step: swap(text, rx(step[0]), step[1]), fixed.TIDY, strip(swap(c, " +", " ")))
+    steps = lambda c: reduce(lambda text, step: swap(text, rx(step[0]), step[1]), fixed.TIDY, c)
+    spaced = let(lambda c: strip(F.when(c.contains("  "), swap(c, " +", " ")).otherwise(c)), c)
+    return let(lambda c: F.when(folded(c).contains(TIDIED), steps(c)).otherwise(c), spaced)
 
 
 def capitalised(c: Column) -> Column:

@@ -26,7 +26,7 @@ MARK, OTHER = "\ufdd0", "\ufdd1"
 
 def rx(pattern: str, cased: bool = False) -> str:
     """``pattern`` with Unicode classes, and any case unless ``cased``; long alternations go by their first letters."""
-    return "(?U)" + pattern if cased else "(?iU)" + by_letter(pattern)
+    return "(?U)" + by_letter(pattern, True) if cased else "(?iU)" + by_letter(pattern)
 
 
 def rx_low(pattern: str) -> str:
@@ -99,9 +99,15 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(a))
 
 
+def matches(c: Column, pattern: str) -> Column:
+    """The distinct matches of ``pattern``, with Unicode classes. Texts of ASCII have the same without their tables, faster."""
+    every = lambda c, flags: F.regexp_extract_all(c, F.lit(flags + pattern), F.lit(0))
+    return F.array_distinct(let(lambda c: F.when(F.octet_length(c) == F.length(c), every(c, "")).otherwise(every(c, "(?U)")), c))
+
+
 def number_tokens(c: Column) -> Column:
     """Distinct numbers, with their inner ``. , ;``, that no letter or underscore touches."""
-    return F.array_distinct(F.regexp_extract_all(text_of(c), F.lit(r"(?U)(?<!\w)\d+(?:[.,;]\d+)*(?!\w)"), F.lit(0)))
+    return matches(text_of(c), r"(?<!\w)\d+(?:[.,;]\d+)*(?!\w)")
 
 
 def plain_number(c: Column) -> Column:
@@ -110,13 +116,12 @@ def plain_number(c: Column) -> Column:
 
 def acronyms(c: Column) -> Column:
     """Distinct capitals followed by capitals, digits or hyphens; the class name ATC doesn't count."""
-    found = F.regexp_extract_all(text_of(c), F.lit(r"(?U)\b[A-Z][A-Z0-9-]{1,}\b"), F.lit(0))
-    return F.array_except(F.array_distinct(found), texts(["ATC"]))
+    return F.array_except(matches(text_of(c), r"\b[A-Z][A-Z0-9-]{1,}\b"), texts(["ATC"]))
 
 
 def upper_tokens(c: Column) -> Column:
     """Distinct tokens of capitals, digits and hyphens of the upper-cased text."""
-    return F.array_distinct(F.regexp_extract_all(F.upper(text_of(c)), F.lit(r"(?U)\b[A-Z0-9-]+\b"), F.lit(0)))
+    return matches(F.upper(text_of(c)), r"\b[A-Z0-9-]+\b")
 
 
 def designators(c: Column) -> Column:
