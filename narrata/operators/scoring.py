@@ -17,6 +17,9 @@ from narrata.plans.fence import fence
 REPORTED = ("valid_schema", "factor_acc", "phase_acc", "recoverable_acc", "recoverable_known_acc", "grounding_fail", "median_tokens", "near_miss_distinct", "lesson_recall", "lesson_emitted", "lesson_grounded")
 GATES = ("schema_at_least_95_percent", "schema_not_worse", "factor_gain_15pp", "phase_gain_10pp", "grounding_at_most_10_percent", "grounding_not_worse", "recoverable_improves", "recoverable_binary_support", "recoverable_not_collapsed")
 
+#: The columns of the narrative that scores are held against.
+EVIDENCE = (*(f"source_{part}" for part in Source.__dataclass_fields__), "source_words")
+
 
 def pair(evaluation: DataFrame, outputs: DataFrame) -> DataFrame:
     """Rows of both tables joined on ``report_id``; ``ValueError`` unless each has every id of the other once."""
@@ -27,14 +30,22 @@ def pair(evaluation: DataFrame, outputs: DataFrame) -> DataFrame:
     return evaluation.join(outputs, "report_id")
 
 
+def prepared(rows: DataFrame) -> DataFrame:
+    """``rows`` (narrative, gold_text, ...) with what ``score`` takes from these two. It is the same for each model, so it
+    is best worked out before rows are doubled for theirs; the evidence that ``briefs.gold`` leaves is taken as it is."""
+    df = briefs.parse(rows, "gold_text", "gold", "gold_error")
+    if set(EVIDENCE) <= set(df.columns):
+        return df
+    return fence(with_source(df, "narrative").withColumn("source_words", content_words(F.col("narrative"))), "source_words")
+
+
 def score(rows: DataFrame) -> DataFrame:
-    """Scores of (report_id, model, narrative, gold_text, text, tokens, near_miss_gold).
+    """Scores of (report_id, model, narrative, gold_text, text, tokens, near_miss_gold), ``prepared`` or not.
 
     Flags are taken from invalid outputs, too; all else of them counts as wrong, and their prediction is "invalid".
     Gold must parse; a row whose gold does not has null scores.
     """
-    df = briefs.parse(briefs.parse(rows, "gold_text", "gold", "gold_error"), "text", "brief", "parse_error")
-    df = fence(with_source(df, "narrative").withColumn("__words", content_words(F.col("narrative"))), "__words")
+    df = briefs.parse(rows if "gold_error" in rows.columns else prepared(rows), "text", "brief", "parse_error")
     df = fence(df.withColumn("grounding_flags", grounding_flags(Source.named("source"), F.col("text"))), "grounding_flags")
     valid, b, g = F.col("parse_error").isNull(), F.col("brief"), F.col("gold")
     right = lambda field: valid & (b[field] == g[field])
@@ -46,7 +57,7 @@ def score(rows: DataFrame) -> DataFrame:
         right("recoverable").alias("recoverable_correct"), (g["recoverable"] != fixed.UNKNOWN).alias("recoverable_known"), g["recoverable"].alias("recoverable_gold"),
         any_flag(F.col("grounding_flags")).alias("grounding_fail"), "grounding_flags", "tokens", F.coalesce("near_miss_gold", F.lit(False)).alias("near_miss_gold"),
         distinct.alias("near_miss_distinct"), F.when(valid, b["recoverable"]).otherwise("invalid").alias("recoverable_prediction"),
-        (g["lesson"] != fixed.NO_LESSON).alias("lesson_gold"), told.alias("lesson_present"), (told & (overlap(words, F.col("__words")) >= 0.6)).alias("lesson_grounded"), "parse_error",
+        (g["lesson"] != fixed.NO_LESSON).alias("lesson_gold"), told.alias("lesson_present"), (told & (overlap(words, F.col("source_words")) >= 0.6)).alias("lesson_grounded"), "parse_error",
     )
 
 
