@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,10 +36,18 @@ class Source:
         return cls(*(F.col(f"{prefix}_{k}") for k in cls.__dataclass_fields__))
 
 
-def with_source(df: DataFrame, narrative: str, prefix: str = "source") -> DataFrame:
-    """``df`` with the columns of ``Source.named(prefix)``, evaluated once per row."""
+#: The part of a source that each kind of flag is held against.
+PART_OF = {"numbers": "numbers", "acronyms": "tokens", "events": "low", "designators": "text"}
+
+
+def with_source(df: DataFrame, narrative: str, prefix: str = "source", kinds: Iterable[str] = tuple(PART_OF)) -> DataFrame:
+    """``df`` with the columns of ``Source.named(prefix)``, evaluated once per row; those that no flag of ``kinds`` needs
+    are null."""
     columns = Source.of(F.col(narrative)).columns(prefix)
-    return fence(df.withColumns(columns), *columns)
+    read = {f"{prefix}_{PART_OF[kind]}" for kind in kinds}
+    blank = {name: F.lit(None).cast("array<string>" if name.endswith(("_numbers", "_tokens")) else "string") for name in columns if name not in read}
+    df = df.withColumns({name: c for name, c in columns.items() if name in read})
+    return fence(df, *(name for name in columns if name in read)).withColumns(blank)
 
 
 def heads_of(claim: str) -> list[str]:
@@ -85,7 +94,7 @@ def grounding_flags(source: Source, output: Column) -> Column:
     numbers = F.array_sort(F.filter(number_tokens(output), lambda n: ~F.array_contains(source.numbers, plain_number(n))))
     names = F.array_sort(F.array_except(acronyms(output), source.tokens))
     events = unsupported_classes(source, output)
-    absent = lambda d: ~F.regexp_like(source.text, F.concat(F.lit("(?<![A-Za-z0-9])"), d["token"], F.lit("(?![A-Za-z0-9])")))
+    absent = lambda d: ~F.contains(source.text, d["token"]) | ~F.regexp_like(source.text, F.concat(F.lit("(?<![A-Za-z0-9])"), d["token"], F.lit("(?![A-Za-z0-9])")))
     places = F.array_sort(F.transform(F.filter(designators(output), absent), lambda d: F.concat_ws(" ", d["name"], d["token"])))
     return F.struct(numbers.alias("numbers"), names.alias("acronyms"), events.alias("events"), places.alias("designators"))
 

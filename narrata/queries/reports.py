@@ -216,7 +216,7 @@ OUTPUT_SQL = OUTPUT.format("pos::varchar")
 
 
 def flagged(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    df = with_source(reports(spark, sf_dir).withColumn("o", F.expr(OUTPUT.format("pos"))), "narrative")
+    df = with_source(reports(spark, sf_dir).withColumn("o", F.expr(OUTPUT.format("pos"))), "narrative", kinds=(kind,))
     flags = grounding_flags(Source.named("source"), F.col("o"))
     return df.select("pos", F.array_join(flags[kind], ";").alias(kind))
 
