@@ -54,7 +54,7 @@ def fill(sizes: DataFrame, eval_size: int, train_size: int, seed: int, **ranges:
 def group_split(rows: DataFrame, eval_size: int, train_size: int, seed: int = 42, strict: bool = True) -> DataFrame:
     """``rows`` (report_id, related_ids, narrative_sha256, ...) with ``group_id`` and ``split``. No group is divided.
     ``strict``: both parts must come out at their exact size, else ``ValueError``. Repeated report ids count each."""
-    linked = rows.join(link_groups(rows), "report_id")
+    linked = rows.join(Workspace(rows.sparkSession, "split").table("groups", link_groups(rows)), "report_id")
     parts = fill(linked.groupBy("group_id").agg(F.count("*").alias("n")), eval_size, train_size, seed)
     if strict:  # the sizes tell, no row is joined for it
         check_sizes({r["split"]: r["n"] for r in parts.groupBy("split").agg(F.sum("n").alias("n")).collect()}, eval_size, train_size)

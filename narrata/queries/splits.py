@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from narrata.functions.text import normal_hash
 from narrata.operators import checkpoints, linkage
+from narrata.plans.storage import Workspace
 from narrata.queries import table
 from narrata.queries.documents import NORMAL
 
@@ -52,7 +53,8 @@ def parts_of(n: int) -> tuple[int, int]:
 
 
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = linked_rows(spark, sf_dir)
+    # texts are hashed once, not for each of the passes over the rows
+    rows = Workspace(spark, "split").table("rows", linked_rows(spark, sf_dir))
     return linkage.group_split(rows, *parts_of(rows.count()), seed=SEED)
 
 
