@@ -71,11 +71,11 @@ def prompt(narrative: Column) -> Column:
     return F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit(fixed.SYSTEM_PROMPT)), ("user", user))))
 
 
-def gold(df: DataFrame, out: str = "gold", given: str | None = None) -> DataFrame:
+def gold(df: DataFrame, out: str = "gold", given: str | None = None, parsed: str | None = None) -> DataFrame:
     """``df`` with the gold brief that the rules read from ``narrative``, ``synopsis`` and the coded fields; null
     where the synopsis lacks support or the rendered brief would not parse. Evidence columns ``source_*`` stay.
     Narratives of unsupported synopses, which have no brief, are read no further.
-    given: a column of supported synopses where they are known."""
+    given: a column of supported synopses where they are known. parsed: a column for what ``parse`` reads from ``gold_text``."""
     df = supported_synopsis(df, "synopsis", "narrative", given=given)
     live = F.size("supported") > 0
     parts, narrative = F.when(live, F.col("source_parts")).otherwise(texts([])), F.when(live, F.col("narrative"))
@@ -94,5 +94,5 @@ def gold(df: DataFrame, out: str = "gold", given: str | None = None) -> DataFram
     df = fence(df, "__gold")
     df = parse(fence(df.withColumn("gold_text", F.when(live, render(F.col("__gold")))), "gold_text"), "gold_text", "__parsed", "__error")
     keep = live & F.col("__error").isNull()
-    df = df.withColumns({out: F.when(keep, F.col("__gold")), "gold_text": F.when(keep, F.col("gold_text"))})
+    df = df.withColumns({out: F.when(keep, F.col("__gold")), "gold_text": F.when(keep, F.col("gold_text"))} | ({parsed: F.when(keep, F.col("__parsed"))} if parsed else {}))
     return fence(df.drop("__happened", "__outcome", "__almost", "__gold", "__parsed", "__error"), out, "gold_text")

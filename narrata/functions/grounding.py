@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.functions.text import acronyms, designators, folded, let, number_tokens, plain_number, rx, rx_low, search, text_of, texts, upper_tokens
+from narrata.functions.patterns import any_of
+from narrata.functions.text import acronyms, designators, folded, let, number_tokens, plain_number, rx_low, search, text_of, texts, upper_tokens
 from narrata.packs import fixed
 from narrata.plans.fence import fence
 
@@ -42,7 +43,7 @@ PART_OF = {"numbers": "numbers", "acronyms": "tokens", "events": "low", "designa
 
 def with_source(df: DataFrame, narrative: str, prefix: str = "source", kinds: Iterable[str] = tuple(PART_OF)) -> DataFrame:
     """``df`` with the columns of ``Source.named(prefix)``, evaluated once per row; those that no flag of ``kinds`` needs
-    are null."""
+    are null. Numbers and tokens that are null are read from the text, if it is there, by outputs that have such things."""
     columns = Source.of(F.col(narrative)).columns(prefix)
     read = {f"{prefix}_{PART_OF[kind]}" for kind in kinds}
     blank = {name: F.lit(None).cast("array<string>" if name.endswith(("_numbers", "_tokens")) else "string") for name in columns if name not in read}
@@ -63,12 +64,13 @@ def heads_of(claim: str) -> list[str]:
 
 HEADS = {name: heads_of(claim) for name, claim, _ in fixed.EVENT_CLASSES}
 #: The longest first, so that a match is the longest head that fits; no head begins with another.
-ANY_HEAD = rx(rf"\b(?:{'|'.join(sorted({h for heads in HEADS.values() for h in heads}, key=lambda h: (-len(h), h)))})")
+EVERY_HEAD = tuple(sorted({h for heads in HEADS.values() for h in heads}, key=lambda h: (-len(h), h)))
+ANY_HEAD = rx_low(rf"\b(?:{'|'.join(EVERY_HEAD)})")
 
 
-def claim_heads(c: Column) -> Column:
-    """The distinct heads of claims that stand in a text, found by one search."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(ANY_HEAD), F.lit(0)), folded))
+def claim_heads(low: Column) -> Column:
+    """The distinct heads of claims that stand in ``folded`` text, found by one search."""
+    return F.array_distinct(F.when(low.rlike(any_of(EVERY_HEAD)), F.regexp_extract_all(low, F.lit(ANY_HEAD), F.lit(0))).otherwise(texts([])))
 
 
 def unsupported_classes(source: Source, output: Column) -> Column:
@@ -82,7 +84,7 @@ def unsupported_classes(source: Source, output: Column) -> Column:
         classes = (F.when(stands(name) & low.rlike(rx_low(claim)) & ~search(source.low, evidence), name) for name, claim, evidence in fixed.EVENT_CLASSES)
         return F.when(F.size(heads) > 0, F.array_compact(F.array(*classes))).otherwise(texts([]))
 
-    return let(found, claim_heads(text_of(output)), folded(text_of(output)))
+    return let(lambda low: let(lambda heads: found(heads, low), claim_heads(low)), folded(text_of(output)))
 
 
 def grounding_flags(source: Source, output: Column) -> Column:
@@ -91,8 +93,13 @@ def grounding_flags(source: Source, output: Column) -> Column:
     Numbers compare without their commas and semicolons and are reported as written; lists other than ``events``
     are sorted. The class name ATC needs no support.
     """
-    numbers = F.array_sort(F.filter(number_tokens(output), lambda n: ~F.array_contains(source.numbers, plain_number(n))))
-    names = F.array_sort(F.array_except(acronyms(output), source.tokens))
+    text = lambda c: F.when(source.text.isNotNull(), c)
+    own_numbers = F.coalesce(source.numbers, text(F.transform(number_tokens(source.text), plain_number)))
+    own_tokens = F.coalesce(source.tokens, text(upper_tokens(source.text)))
+    # the source is read only where an output has something to hold against it
+    if_any = lambda found, held: let(lambda found: F.when(F.size(found) > 0, held(found)).otherwise(found), found)
+    numbers = F.array_sort(if_any(number_tokens(output), lambda found: let(lambda own: F.filter(found, lambda n: ~F.array_contains(own, plain_number(n))), own_numbers)))
+    names = F.array_sort(if_any(acronyms(output), lambda found: F.array_except(found, own_tokens)))
     events = unsupported_classes(source, output)
     absent = lambda d: ~F.contains(source.text, d["token"]) | ~F.regexp_like(source.text, F.concat(F.lit("(?<![A-Za-z0-9])"), d["token"], F.lit("(?![A-Za-z0-9])")))
     places = F.array_sort(F.transform(F.filter(designators(output), absent), lambda d: F.concat_ws(" ", d["name"], d["token"])))

@@ -94,6 +94,22 @@ def by_letter(p: str, cased: bool = False) -> str:
     return f"(?=[{''.join(every)}]){before}(?:{groups}){after}"
 
 
+def _tree(plain: list[str]) -> str:
+    heads = sorted({x[:1] for x in plain})
+    if "" in heads:
+        return ""  # what is longer has this one in it
+    parts = [re.escape(x) + _tree([y[1:] for y in plain if y[0] == x]) for x in heads]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+@lru_cache(maxsize=None)
+def any_of(plain: tuple[str, ...]) -> str:
+    """A pattern found where one of several ``plain`` texts of two letters or more stands. It reads a text once, however many
+    there are, and holds most places against two classes of letters only."""
+    first, second = ("".join(sorted({re.escape(x[i]) for x in plain})) for i in (0, 1))
+    return f"(?=[{first}][{second}]){_tree(list(plain))}"
+
+
 @lru_cache(maxsize=None)
 def lowered(p: str) -> str:
     """A pattern of any case for texts in lower case. Plain letters, tried first, spare a word character its Unicode tables."""

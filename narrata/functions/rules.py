@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from narrata.functions.codes import split_codes
+from narrata.functions.patterns import any_of, needed
 from narrata.functions.text import WS, any_match, folded, let, rx, rx_low, search, tells, text_of, texts, word_count
 from narrata.packs import fixed
 
@@ -59,9 +60,13 @@ def without_labels(s: Column) -> Column:
     return F.regexp_replace(s, rf"(?U)\.{WS}*\d{{1,2}}\.$", ".")
 
 
+#: What sentences that recommend have one of, with their labels or without.
+LESSON_WORDS = any_of(tuple(sorted({*needed(fixed.LESSON_START), *needed(fixed.LESSON_MODAL)})))
+
+
 def lesson(parts: Column, *exclude: Column) -> Column:
     """The last sentence that recommends something, without its labels; else "None stated."."""
-    clean = F.transform(parts, without_labels)
+    clean = F.transform(F.filter(parts, lambda s: folded(s).rlike(LESSON_WORDS)), without_labels)
 
     def recommends(s: Column) -> Column:
         fits = s.endswith(".") & s.rlike(r"""^[A-Z0-9"'\[(]""") & ~s.contains("?")

@@ -48,7 +48,8 @@ def generalise_types(c: Column, narrative: Column) -> Column:
     def seen(m: Column) -> Column:
         return F.when(F.regexp_like(narrative, F.concat(F.lit(r"(?iU)\b\Q"), m, F.lit(r"\E\b"))), m).otherwise(F.lit("aircraft"))
 
-    return reduce(lambda text, pattern: replace_each(text, rx(pattern, cased=True), seen), (fixed.AIRCRAFT_TYPE, fixed.AIRCRAFT_NAME), c)
+    # each step names its text thrice; unbound, the one before it would be evaluated as often
+    return reduce(lambda text, pattern: let(lambda c: replace_each(c, rx(pattern, cased=True), seen), text), (fixed.AIRCRAFT_TYPE, fixed.AIRCRAFT_NAME), c)
 
 
 #: Qualifiers made of others are looked at when those are gone; the rest do not overlap, so each pass reads a text once.
@@ -102,13 +103,13 @@ def supported_synopsis(df: DataFrame, synopsis: str, narrative: str, out: str =
     """``df`` with ``out``: the first two sentences of the synopsis, in general terms, that the narrative supports.
 
     Empty where the narrator is unsure, where the first sentence lacks support, or where there is none. The columns
-    of ``Source`` for the narrative are added under ``prefix`` and stay for later use. given: a column of results that
+    of ``Source`` for the narrative are added under ``prefix`` and stay for later use, numbers and tokens as null. given: a column of results that
     are known; where it is not null nothing is computed again.
     """
     text, told = text_of(F.col(narrative)), text_of(F.col(synopsis))
     if given:
         told = F.when(F.col(given).isNull(), told).otherwise("")
-    df = with_source(df.withColumns({f"{prefix}_parts": sentences(text), f"{prefix}_words": content_words(text)}), narrative, prefix)
+    df = with_source(df.withColumns({f"{prefix}_parts": sentences(text), f"{prefix}_words": content_words(text)}), narrative, prefix, ("events", "designators"))
     df = fence(df, f"{prefix}_parts", f"{prefix}_words")
     source, parts = Source.named(prefix), F.col(f"{prefix}_parts")
     told_words = lambda kept: F.array_distinct(F.flatten(F.transform(kept, content_words)))

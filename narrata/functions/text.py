@@ -79,7 +79,7 @@ def sentences(c: Column) -> Column:
     letter after a sentence may have either case; what follows one of the known abbreviations stays with it.
     """
     guards = "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')})" for a in fixed.ABBREVIATIONS)
-    spaced = F.regexp_replace(text_of(c), r"(?<=[a-z0-9%)])\.(?=[A-Z])", ". ")
+    spaced = F.regexp_replace(text_of(c), r"\.(?<=[a-z0-9%)]\.)(?=[A-Z])", ". ")
     broken = F.regexp_replace(spaced, rf"""(?iu)(?<=[.!?]){guards}{WS}+(?=[A-Z\["'])""", "\n")
     return F.filter(F.transform(F.split(broken, "\n"), strip), lambda s: s != "")
 
@@ -91,7 +91,7 @@ def word_count(c: Column) -> Column:
 
 def content_words(c: Column) -> Column:
     """Distinct runs of three or more letters a to z, lower-cased, without stop words; in order of appearance."""
-    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text_of(c)), F.lit("[a-z]{3,}"), F.lit(0))), texts(fixed.STOP_WORDS))
+    return F.array_except(F.regexp_extract_all(F.lower(text_of(c)), F.lit("[a-z]{3,}"), F.lit(0)), texts(fixed.STOP_WORDS))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -107,7 +107,7 @@ def matches(c: Column, pattern: str) -> Column:
 
 def number_tokens(c: Column) -> Column:
     """Distinct numbers, with their inner ``. , ;``, that no letter or underscore touches."""
-    return matches(text_of(c), r"(?<!\w)\d+(?:[.,;]\d+)*(?!\w)")
+    return matches(text_of(c), r"(?=\d)(?<!\w)\d+(?:[.,;]\d+)*(?!\w)")
 
 
 def plain_number(c: Column) -> Column:
@@ -116,7 +116,7 @@ def plain_number(c: Column) -> Column:
 
 def acronyms(c: Column) -> Column:
     """Distinct capitals followed by capitals, digits or hyphens; the class name ATC doesn't count."""
-    return F.array_except(matches(text_of(c), r"\b[A-Z][A-Z0-9-]{1,}\b"), texts(["ATC"]))
+    return F.array_except(matches(text_of(c), r"(?=[A-Z])\b[A-Z][A-Z0-9-]{1,}\b"), texts(["ATC"]))
 
 
 def upper_tokens(c: Column) -> Column:
@@ -126,7 +126,7 @@ def upper_tokens(c: Column) -> Column:
 
 def designators(c: Column) -> Column:
     """Named places like ``Gate B7``: distinct structs of name and token."""
-    found = F.regexp_extract_all(text_of(c), F.lit(rx(fixed.DESIGNATOR, cased=True)), F.lit(0))
+    found = F.regexp_extract_all(text_of(c), F.lit("(?=[A-Z])" + rx(fixed.DESIGNATOR, cased=True)), F.lit(0))
     pair = lambda m: F.struct(F.regexp_extract(m, rx(fixed.DESIGNATOR, cased=True), 1).alias("name"), F.regexp_extract(m, rx(fixed.DESIGNATOR, cased=True), 2).alias("token"))
     return F.array_distinct(F.transform(found, pair))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from narrata.functions import brief as briefs
 from narrata.functions.grounding import Source, any_flag, grounding_flags, with_source
-from narrata.functions.text import content_words, overlap
+from narrata.functions.text import content_words, let, overlap
 from narrata.packs import fixed
 from narrata.plans.fence import fence
 
@@ -32,8 +32,9 @@ def pair(evaluation: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def prepared(rows: DataFrame) -> DataFrame:
     """``rows`` (narrative, gold_text, ...) with what ``score`` takes from these two. It is the same for each model, so it
-    is best worked out before rows are doubled for theirs; the evidence that ``briefs.gold`` leaves is taken as it is."""
-    df = briefs.parse(rows, "gold_text", "gold", "gold_error")
+    is best worked out before rows are doubled for theirs. The evidence that ``briefs.gold`` leaves, and ``gold`` and
+    ``gold_error`` as ``briefs.parse`` reads them, are taken as they are."""
+    df = rows if {"gold", "gold_error"} <= set(rows.columns) else briefs.parse(rows, "gold_text", "gold", "gold_error")
     if set(EVIDENCE) <= set(df.columns):
         return df
     return fence(with_source(df, "narrative").withColumn("source_words", content_words(F.col("narrative"))), "source_words")
@@ -43,9 +44,12 @@ def score(rows: DataFrame) -> DataFrame:
     """Scores of (report_id, model, narrative, gold_text, text, tokens, near_miss_gold), ``prepared`` or not.
 
     Flags are taken from invalid outputs, too; all else of them counts as wrong, and their prediction is "invalid".
-    Gold must parse; a row whose gold does not has null scores.
+    Gold must parse; a row whose gold does not has null scores. An output that is its gold brief is not parsed again.
     """
-    df = briefs.parse(rows if "gold_error" in rows.columns else prepared(rows), "text", "brief", "parse_error")
+    df = rows if set(EVIDENCE) <= set(rows.columns) and {"gold", "gold_error"} <= set(rows.columns) else prepared(rows)
+    same = F.col("text").eqNullSafe(F.col("gold_text"))
+    df = briefs.parse(df.withColumn("__other", F.when(~same, F.col("text"))), "__other", "__brief", "__error")
+    df = df.withColumns({"brief": F.when(same, F.col("gold")).otherwise(F.col("__brief")), "parse_error": F.when(same, F.col("gold_error")).otherwise(F.col("__error"))})
     df = fence(df.withColumn("grounding_flags", grounding_flags(Source.named("source"), F.col("text"))), "grounding_flags")
     valid, b, g = F.col("parse_error").isNull(), F.col("brief"), F.col("gold")
     right = lambda field: valid & (b[field] == g[field])
@@ -57,7 +61,7 @@ def score(rows: DataFrame) -> DataFrame:
         right("recoverable").alias("recoverable_correct"), (g["recoverable"] != fixed.UNKNOWN).alias("recoverable_known"), g["recoverable"].alias("recoverable_gold"),
         any_flag(F.col("grounding_flags")).alias("grounding_fail"), "grounding_flags", "tokens", F.coalesce("near_miss_gold", F.lit(False)).alias("near_miss_gold"),
         distinct.alias("near_miss_distinct"), F.when(valid, b["recoverable"]).otherwise("invalid").alias("recoverable_prediction"),
-        (g["lesson"] != fixed.NO_LESSON).alias("lesson_gold"), told.alias("lesson_present"), (told & (overlap(words, F.col("source_words")) >= 0.6)).alias("lesson_grounded"), "parse_error",
+        (g["lesson"] != fixed.NO_LESSON).alias("lesson_gold"), told.alias("lesson_present"), (told & (let(lambda w: overlap(w, F.col("source_words")), words) >= 0.6)).alias("lesson_grounded"), "parse_error",
     )
 
 

@@ -26,11 +26,11 @@ def query(oracle: str | None = None):
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold briefs as two models might repeat them: ``base`` breaks seven in eight, ``adapter`` swaps Weather for Other."""
-    gold = briefs.gold(reports(spark, sf_dir)).where("gold is not null").withColumn("near_miss_gold", F.col("gold.what_almost_happened") != "None stated")
+    gold = briefs.gold(reports(spark, sf_dir), "told", parsed="gold").where("told is not null").withColumn("near_miss_gold", F.col("told.what_almost_happened") != "None stated")
     broken = "case pos % 8 " + " ".join(f"when {i} then {how.format('gold_text')}" for i, (how, _) in enumerate(BREAKS)) + " end"
     texts = F.array(F.struct(F.lit("base").alias("model"), F.expr(broken).alias("text")), F.struct(F.lit("adapter").alias("model"), F.replace("gold_text", F.lit("Weather"), F.lit("Other")).alias("text")))
     kept = ("narrative", "gold_text", "near_miss_gold", "gold", "gold_error", *scoring.EVIDENCE)
-    long = scoring.prepared(gold.drop("gold")).select(F.col("pos").cast("string").alias("report_id"), "pos", *kept, F.explode(texts).alias("x"))
+    long = scoring.prepared(gold.withColumn("gold_error", F.lit(None).cast("string"))).select(F.col("pos").cast("string").alias("report_id"), "pos", *kept, F.explode(texts).alias("x"))
     return long.select("report_id", *kept, "x.*", (F.col("pos") % 100 + 10).cast("int").alias("tokens"))
 
 
