@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from narrata.functions import rules
 from narrata.functions.codes import map_factor, map_phase
 from narrata.functions.synopsis import supported_synopsis
-from narrata.functions.text import LINE_END, sentences, strip, text_of, texts, word_count
+from narrata.functions.text import LINE_END, MARK, sentences, strip, text_of, texts, word_count
 from narrata.packs import fixed
 from narrata.plans.fence import fence
 
@@ -34,11 +34,14 @@ def parse(df: DataFrame, text: str, brief: str = "brief", error: str = "parse_er
     wrong = fixed.PARSE_ERRORS
     df = df.withColumn("__text", strip(F.col(text)))
     t = F.col("__text")
-    df = df.withColumns({"__names": F.regexp_extract_all(t, F.lit(ANY_HEADING), F.lit(1)), "__raw": F.slice(F.split(t, HEADING), 2, 7), "__lead": F.get(F.split(t, HEADING), F.lit(0))})
-    raw = lambda i: F.get("__raw", F.lit(i))
-    df = fence(df.withColumn("__v", F.transform("__raw", strip)), "__names", "__raw", "__lead", "__v")
+    # the split at a pattern compiles it for each text, so texts are split at a mark that none of them should have
+    between = F.when(t.contains(MARK), F.split(t, HEADING)).otherwise(F.split(F.regexp_replace(t, HEADING, MARK), MARK))
+    df = fence(df.withColumns({"__names": F.regexp_extract_all(t, F.lit(ANY_HEADING), F.lit(1)), "__between": between}), "__names", "__between")
+    raw = lambda i: F.get("__between", F.lit(i + 1))
+    df = fence(df.withColumn("__v", F.transform(F.slice("__between", 2, 7), strip)), "__v")
     happened, almost, phase, factor, bullets, outcome, lesson = (F.get("__v", F.lit(i)) for i in range(7))
-    df = df.withColumns({"__out": F.split(outcome, LINE_END), "__bul": F.when(bullets == fixed.NONE, texts([])).otherwise(F.split(bullets, LINE_END))})
+    lines = lambda c: F.when(c.rlike(LINE_END.replace(r"\n", "")), F.split(c, LINE_END)).otherwise(F.split(c, "\n"))
+    df = df.withColumns({"__out": lines(outcome), "__bul": F.when(bullets == fixed.NONE, texts([])).otherwise(lines(bullets))})
     sections = []
     for i, name in enumerate(fixed.HEADINGS):
         if i < 6:
@@ -53,11 +56,11 @@ def parse(df: DataFrame, text: str, brief: str = "brief", error: str = "parse_er
         F.when((n < 1) | (n > 3), wrong[7]),
         F.when((F.size(sentences(lesson)) != 1) | lesson.contains("\n") | ~lesson.rlike(r"[.!?]\z"), wrong[8]),
     ]
-    first = [F.when(F.col("__names") != texts(fixed.HEADINGS), wrong[0]), F.when((F.size("__raw") < 7) | (F.col("__lead") != ""), wrong[1])]
+    first = [F.when(F.col("__names") != texts(fixed.HEADINGS), wrong[0]), F.when((F.size("__between") < 8) | (F.get("__between", F.lit(0)) != ""), wrong[1])]
     df = fence(df.withColumn(error, F.coalesce(*first, *sections, *late)), error, "__out", "__bul")
     values = (happened, almost, phase, factor, F.transform("__bul", lambda x: strip(F.substring(x, 3, 1 << 30))), F.get("__out", F.lit(0)), F.coalesce(F.get("__out", F.lit(1)), F.lit("")), lesson)
     df = df.withColumn(brief, F.when(F.col(error).isNull(), F.struct(*(v.alias(k) for k, v in zip(FIELDS, values, strict=True)))))
-    return fence(df.drop("__text", "__names", "__raw", "__lead", "__v", "__out", "__bul"), brief)
+    return fence(df.drop("__text", "__names", "__between", "__v", "__out", "__bul"), brief)
 
 
 def envelope(brief: str, error: str, raw: str) -> Column:
@@ -78,6 +81,7 @@ def gold(df: DataFrame, out: str = "gold", given: str | None = None, parsed: str
     given: a column of supported synopses where they are known. parsed: a column for what ``parse`` reads from ``gold_text``."""
     df = supported_synopsis(df, "synopsis", "narrative", given=given)
     live = F.size("supported") > 0
+    df = fence(df.withColumn("source_parts", F.when(live, F.coalesce("source_parts", sentences(F.col("narrative"))))), "source_parts")
     parts, narrative = F.when(live, F.col("source_parts")).otherwise(texts([])), F.when(live, F.col("narrative"))
     df = df.withColumns({"__happened": F.array_join("supported", " "), "__outcome": rules.recoverable(parts)})
     df = fence(df, "__happened", "__outcome")

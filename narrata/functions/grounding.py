@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def unsupported_classes(source: Source, output: Column) -> Column:
     """
 
     def found(heads: Column, low: Column) -> Column:
-        stands = lambda name: F.arrays_overlap(heads, texts(HEADS[name]))
+        stands = lambda name: reduce(Column.__or__, (F.array_contains(heads, h) for h in HEADS[name]))
         classes = (F.when(stands(name) & low.rlike(rx_low(claim)) & ~search(source.low, evidence), name) for name, claim, evidence in fixed.EVENT_CLASSES)
         return F.when(F.size(heads) > 0, F.array_compact(F.array(*classes))).otherwise(texts([]))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from narrata.functions.codes import split_codes
 from narrata.functions.patterns import any_of, needed
-from narrata.functions.text import WS, any_match, folded, let, rx, rx_low, search, tells, text_of, texts, word_count
+from narrata.functions.text import WS, any_match, first_of, folded, let, rx, rx_low, search, tells, text_of, texts, word_count
 from narrata.packs import fixed
 
 LEFT, RIGHT = 70, 45
@@ -35,7 +35,7 @@ def recoverable(parts: Column) -> Column:
     (Yes), else Unknown and no evidence."""
 
     def first(pattern: str) -> Column:
-        return F.get(F.filter(parts, lambda s: unnegated(s, pattern)), F.lit(0))
+        return first_of(parts, lambda s: F.when(unnegated(s, pattern), s))
 
     def told(label: Column, evidence: Column) -> Column:
         return F.struct(F.when(evidence.isNull(), fixed.UNKNOWN).otherwise(label).alias("label"), F.coalesce(evidence, F.lit("")).alias("evidence"))
@@ -50,7 +50,7 @@ def near_miss(parts: Column, happened: Column) -> Column:
     def told(s: Column) -> Column:
         return unnegated(s, fixed.NEAR_MISS) & (s != happened) & (word_count(s) <= 60) & ~s.rlike(rx(fixed.PRESCRIPTIVE)) & ~s.rlike(rx(fixed.FILED))
 
-    return F.coalesce(F.get(F.filter(parts, told), F.lit(0)), F.lit(fixed.NONE))
+    return F.coalesce(first_of(parts, lambda s: F.when(told(s), s)), F.lit(fixed.NONE))
 
 
 def without_labels(s: Column) -> Column:
@@ -66,8 +66,6 @@ LESSON_WORDS = any_of(tuple(sorted({*needed(fixed.LESSON_START), *needed(fixed.L
 
 def lesson(parts: Column, *exclude: Column) -> Column:
     """The last sentence that recommends something, without its labels; else "None stated."."""
-    clean = F.transform(F.filter(parts, lambda s: folded(s).rlike(LESSON_WORDS)), without_labels)
-
     def recommends(s: Column) -> Column:
         fits = s.endswith(".") & s.rlike(r"""^[A-Z0-9"'\[(]""") & ~s.contains("?")
         for other in exclude:
@@ -75,7 +73,8 @@ def lesson(parts: Column, *exclude: Column) -> Column:
         # the dearest pattern is tried last, on what passed all others
         return fits & (s.rlike(rx(fixed.LESSON_START)) | let(lambda low: search(low, fixed.LESSON_MODAL), folded(s))) & word_count(s).between(5, 35) & ~s.rlike(rx(fixed.ANAPHORA)) & ~s.rlike(rx(fixed.NOT_A_LESSON))
 
-    return F.coalesce(F.get(F.reverse(F.filter(clean, recommends)), F.lit(0)), F.lit(fixed.NO_LESSON))
+    found = lambda s: F.when(folded(s).rlike(LESSON_WORDS), let(lambda s: F.when(recommends(s), s), without_labels(s)))
+    return F.coalesce(first_of(F.reverse(parts), found), F.lit(fixed.NO_LESSON))
 
 
 def contributors(narrative: Column, human_factors: Column, factors: Column, most: int = 5) -> Column:
@@ -84,9 +83,11 @@ def contributors(narrative: Column, human_factors: Column, factors: Column, most
     text = text_of(narrative)
 
     def attested(pattern: str) -> Column:
-        found = F.regexp_substr(text, F.lit(rx(pattern)))
-        before = F.right(F.left(text, F.regexp_instr(text, F.lit(rx(pattern))) - 1), F.lit(25))
-        return F.when(found.isNotNull() & ~before.rlike(rx(fixed.NEGATION)), found)
+        def found(at: Column) -> Column:
+            before = F.right(F.left(text, at - 1), F.lit(25))
+            return F.when((at > 0) & ~before.rlike(rx(fixed.NEGATION)), F.regexp_extract(text, rx(pattern), 0))
+
+        return let(found, F.regexp_instr(text, F.lit(rx(pattern))))
 
     def phrase(code: Column) -> Column:
         # a pattern that is a literal is compiled once, one looked up anew for each code

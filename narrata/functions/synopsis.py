@@ -31,8 +31,11 @@ def generalise_roles(c: Column, narrative: Column) -> Column:
         told = F.when(absent, swap(c, whole, "reporter")).when(other, swap(c, whole + reports, "reporter")).otherwise(c)
         return F.when(c.rlike(rx(rf"\b{role}\b")), told).otherwise(c)
 
-    steps = lambda c: reduce(lambda c, role: let(lambda c: step(c, role), c), fixed.ROLES, c)
-    c = let(lambda c: F.when(c.rlike(rx(rf"\b(?:{'|'.join(fixed.ROLES)})\b")), steps(c)).otherwise(c), c)
+    # no step writes a role, so those that a text lacks at first it lacks to the end
+    named = lambda c, low, role: F.when(low.contains(role.lower()), let(lambda c: step(c, role), c)).otherwise(c)
+    steps = lambda c, low: reduce(lambda c, role: let(lambda c: named(c, low, role), c), fixed.ROLES, c)
+    every = rx(rf"\b(?:{'|'.join(fixed.ROLES)})\b")
+    c = let(lambda c: F.when(c.rlike(every), let(lambda low: steps(c, low), folded(c))).otherwise(c), c)
 
     def plainer(c: Column) -> Column:
         c = swap(c, rx(r"\breporter (?:pilot|personnel|crew|controller)\b"), "reporter")
@@ -103,25 +106,28 @@ def supported_synopsis(df: DataFrame, synopsis: str, narrative: str, out: str =
     """``df`` with ``out``: the first two sentences of the synopsis, in general terms, that the narrative supports.
 
     Empty where the narrator is unsure, where the first sentence lacks support, or where there is none. The columns
-    of ``Source`` for the narrative are added under ``prefix`` and stay for later use, numbers and tokens as null. given: a column of results that
-    are known; where it is not null nothing is computed again.
+    of ``Source`` for the narrative are added under ``prefix`` and stay for later use, numbers and tokens as null. So do its content words and,
+    where it guesses, its sentences, as ``words`` and ``parts``; both are null where nothing is left to be held against them, which is told first.
+    given: a column of results that are known; where it is not null nothing is computed again.
     """
     text, told = text_of(F.col(narrative)), text_of(F.col(synopsis))
     if given:
         told = F.when(F.col(given).isNull(), told).otherwise("")
-    df = with_source(df.withColumns({f"{prefix}_parts": sentences(text), f"{prefix}_words": content_words(text)}), narrative, prefix, ("events", "designators"))
-    df = fence(df, f"{prefix}_parts", f"{prefix}_words")
+    df = with_source(df, narrative, prefix, ("events", "designators"))
     source, parts = Source.named(prefix), F.col(f"{prefix}_parts")
+    high = reduce(Column.__or__, (F.lower(told).contains(p) & ~F.lower(text).contains(p) for p in fixed.AIRPORT_PHRASES))
+    df = fence(df.withColumn("__live", (told != "") & ~search(source.low, fixed.UNSURE) & ~high), "__live")
+    live = lambda c: F.when(F.col("__live"), c)
+    # narratives that guess nowhere, nearly all, are not searched sentence by sentence
+    df = df.withColumns({f"{prefix}_words": live(content_words(text)), f"{prefix}_parts": F.when(F.col("__live") & search(source.low, fixed.HEDGE), sentences(text))})
+    df = fence(df.withColumn("__told", live(generalise_types(generalise_roles(told, text), text))), f"{prefix}_words", f"{prefix}_parts", "__told")
     told_words = lambda kept: F.array_distinct(F.flatten(F.transform(kept, content_words)))
     guesses = lambda keep: F.filter(parts, lambda s: s.rlike(rx(fixed.HEDGE)) == F.lit(keep))
     whole_event = rx(f"^(?:{fixed.EVENT_WORDS})$")
     none = F.struct(texts([]).alias("all"), texts([]).alias("only"))
     split = lambda a, b: F.struct(a.alias("all"), F.filter(F.array_except(a, b), lambda w: w.rlike(whole_event)).alias("only"))
-    # narratives that guess nowhere, nearly all, are not searched sentence by sentence
-    df = df.withColumn("__hedged", F.when(search(source.low, fixed.HEDGE), let(split, told_words(guesses(True)), told_words(guesses(False)))).otherwise(none))
-    df = df.withColumn("__told", generalise_types(generalise_roles(told, text), text))
-    df = fence(df, "__hedged", "__told")
-    df = fence(df.withColumn("__claims", sentences(tidy(drop_qualifiers(F.col("__told"), text)))), "__claims")
+    df = df.withColumn("__hedged", F.when(parts.isNotNull(), let(split, told_words(guesses(True)), told_words(guesses(False)))).otherwise(none))
+    df = fence(df.withColumn("__claims", live(sentences(tidy(drop_qualifiers(F.col("__told"), text))))), "__hedged", "__claims")
 
     def holds(s: Column) -> Column:
         def attested(words: Column) -> Column:
@@ -131,9 +137,13 @@ def supported_synopsis(df: DataFrame, synopsis: str, narrative: str, out: str =
         event = s.rlike(rx(fixed.EVENT_WORDS)) & ~s.rlike(rx(fixed.HYPOTHETICAL)) & ~s.endswith("?") & (word_count(s) <= 65)
         return F.when(event & let(attested, content_words(s)), ~any_flag(grounding_flags(source, s))).otherwise(F.lit(False))
 
-    high = reduce(Column.__or__, (F.lower(told).contains(p) & ~F.lower(text).contains(p) for p in fixed.AIRPORT_PHRASES))
-    df = df.withColumn("__ok", F.when(search(source.low, fixed.UNSURE) | high, F.lit(None)).otherwise(F.transform("__claims", lambda s: F.struct(s.alias("s"), holds(s).alias("ok")))))
-    kept = F.slice(F.transform(F.filter("__ok", lambda x: x["ok"]), lambda x: capitalised(x["s"])), 1, 2)
-    found = F.when(F.coalesce(F.get("__ok", F.lit(0))["ok"], F.lit(False)), kept).otherwise(texts([]))
+    def step(state: Column, s: Column) -> Column:
+        kept = state["kept"]
+        # it is over with the first sentence where that does not hold, else with the second that does
+        told = lambda ok: F.struct(F.when(ok, F.array_append(kept, capitalised(s))).otherwise(kept).alias("kept"), (ok == (F.size(kept) == 1)).alias("over"))
+        after = lambda ok: F.when(ok | (F.size(kept) == 0), told(ok)).otherwise(state)
+        return F.when(state["over"], state).otherwise(let(after, F.coalesce(holds(s), F.lit(False))))
+
+    found = F.aggregate(F.coalesce("__claims", texts([])), F.struct(texts([]).alias("kept"), F.lit(False).alias("over")), step, lambda state: state["kept"])
     df = df.withColumn(out, F.coalesce(F.col(given), found) if given else found)
-    return fence(df.drop("__hedged", "__told", "__claims", "__ok"), out)
+    return fence(df.drop("__live", "__hedged", "__told", "__claims"), out)

@@ -78,9 +78,10 @@ def sentences(c: Column) -> Column:
     A full stop glued to a capital letter ends a sentence, except between capitals. Lines end sentences. The
     letter after a sentence may have either case; what follows one of the known abbreviations stays with it.
     """
-    guards = "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')})" for a in fixed.ABBREVIATIONS)
+    guards = "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')}{WS})" for a in fixed.ABBREVIATIONS)
     spaced = F.regexp_replace(text_of(c), r"\.(?<=[a-z0-9%)]\.)(?=[A-Z])", ". ")
-    broken = F.regexp_replace(spaced, rf"""(?iu)(?<=[.!?]){guards}{WS}+(?=[A-Z\["'])""", "\n")
+    # the white space comes first, so that most places are held against one class
+    broken = F.regexp_replace(spaced, rf"""(?iu){WS}(?<=[.!?]{WS}){guards}{WS}*+(?=[A-Z\["'])""", "\n")
     return F.filter(F.transform(F.split(broken, "\n"), strip), lambda s: s != "")
 
 
@@ -99,6 +100,11 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(a))
 
 
+def first_of(values: Column, take: Callable[[Column], Column]) -> Column:
+    """The first result of ``take``, a string, that is not null, over an array in its order; what stands behind it is not looked at."""
+    return F.aggregate(values, F.lit(None).cast("string"), lambda got, x: F.when(got.isNotNull(), got).otherwise(take(x)))
+
+
 def matches(c: Column, pattern: str) -> Column:
     """The distinct matches of ``pattern``, with Unicode classes. Texts of ASCII have the same without their tables, faster."""
     every = lambda c, flags: F.regexp_extract_all(c, F.lit(flags + pattern), F.lit(0))
@@ -132,8 +138,9 @@ def designators(c: Column) -> Column:
 
 
 def normal_hash(c: Column) -> Column:
-    """SHA-256 of the lower-cased text, its words joined by one space."""
-    return F.sha2(F.regexp_replace(strip(F.lower(text_of(c))), f"{WS}+", " "), 256)
+    """SHA-256 of the lower-cased text, its words joined by one space. Texts whose white space is single spaces are taken as they are."""
+    joined = lambda c: F.when(c.contains("  ") | c.rlike(WS.replace(r"\x20", r"\x1F")), F.regexp_replace(c, f"{WS}+", " ")).otherwise(c)
+    return F.sha2(let(joined, strip(F.lower(text_of(c)))), 256)
 
 
 def marked(c: Column, pattern: str) -> Column:

@@ -61,7 +61,7 @@ def score(rows: DataFrame) -> DataFrame:
         right("recoverable").alias("recoverable_correct"), (g["recoverable"] != fixed.UNKNOWN).alias("recoverable_known"), g["recoverable"].alias("recoverable_gold"),
         any_flag(F.col("grounding_flags")).alias("grounding_fail"), "grounding_flags", "tokens", F.coalesce("near_miss_gold", F.lit(False)).alias("near_miss_gold"),
         distinct.alias("near_miss_distinct"), F.when(valid, b["recoverable"]).otherwise("invalid").alias("recoverable_prediction"),
-        (g["lesson"] != fixed.NO_LESSON).alias("lesson_gold"), told.alias("lesson_present"), (told & (let(lambda w: overlap(w, F.col("source_words")), words) >= 0.6)).alias("lesson_grounded"), "parse_error",
+        (g["lesson"] != fixed.NO_LESSON).alias("lesson_gold"), told.alias("lesson_present"), (told & (let(lambda w: overlap(w, F.coalesce("source_words", content_words(F.col("source_text")))), words) >= 0.6)).alias("lesson_grounded"), "parse_error",
     )
 
 
