@@ -50,13 +50,13 @@ def curate(reports: DataFrame, pos: str = "pos", narrative_chars: int = 6000, ma
     are read no further than to the rule that drops them; what later rules would find in them is left empty.
     """
     df = cheap_reasons(reports, pos, least)
-    df = df.withColumns({"narrative_sha256": normal_hash(F.col("narrative")), "related_ids": related_ids(F.col("related_id"))})
     live = lambda c: F.when(F.col("drop_reason").isNull(), F.col(c))
     whole = briefs.supported_synopsis(df.withColumns({"__live_narrative": live("narrative"), "__live_synopsis": live("synopsis")}), "__live_synopsis", "__live_narrative", out="__whole", prefix="__w")
     whole = whole.drop("__live_narrative", "__live_synopsis", *(c for c in whole.columns if c.startswith("__w_")))
     cut = truncate(F.col("narrative"), narrative_chars)
     no = F.col("drop_reason").isNull() & (F.size("__whole") == 0)
     df = whole.withColumns({"drop_reason": F.when(no, "drop_unsupported_synopsis").otherwise(F.col("drop_reason")), "__cut": cut})
+    df = df.withColumn("__sha", F.when(F.col("__cut.truncated"), normal_hash(F.col("narrative"))))
     df = df.withColumns({"truncated": F.col("drop_reason").isNull() & F.col("__cut.truncated"), "__narrative": F.col("__cut.text"), "__synopsis": F.col("synopsis")}).drop("__cut")
     df = fence(df, "drop_reason", "truncated", "__narrative")
     # what was not cut has been checked already
@@ -77,7 +77,10 @@ def curate(reports: DataFrame, pos: str = "pos", narrative_chars: int = 6000, ma
         "drop_reason": reason, "token_count": length, "near_miss_gold": F.col("gold.what_almost_happened") != fixed.NONE,
         "recovery_no_gold": F.col("gold.recoverable") == "No",
     })
-    return fence(df.drop(*(c for c in df.columns if c.startswith("source_")), "supported"), "drop_reason", "token_count")
+    df = fence(df.drop(*(c for c in df.columns if c.startswith("source_")), "supported"), "drop_reason", "token_count")
+    # behind the last fence, so that they are worked out only for rows that are read, and not at all where nothing asks for them
+    sha = F.coalesce("__sha", normal_hash(F.col("narrative")))
+    return df.withColumns({"narrative_sha256": sha, "related_ids": related_ids(F.col("related_id"))}).drop("__sha")
 
 
 def eligible(curated: DataFrame) -> DataFrame:
