@@ -74,6 +74,11 @@ def prompt(narrative: Column) -> Column:
     return F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit(fixed.SYSTEM_PROMPT)), ("user", user))))
 
 
+def prompt_length(narrative: Column) -> Column:
+    """The code points of ``prompt(narrative)``, which is not written for it."""
+    return F.length(text_of(narrative)) + len(fixed.SYSTEM_PROMPT + fixed.FORMAT_PROMPT + "\n<narrative>\n" + "\n</narrative>")
+
+
 def gold(df: DataFrame, out: str = "gold", given: str | None = None, parsed: str | None = None) -> DataFrame:
     """``df`` with the gold brief that the rules read from ``narrative``, ``synopsis`` and the coded fields; null
     where the synopsis lacks support or the rendered brief would not parse. Evidence columns ``source_*`` stay.

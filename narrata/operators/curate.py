@@ -64,9 +64,8 @@ def curate(reports: DataFrame, pos: str = "pos", narrative_chars: int = 6000, ma
     df = df.withColumns({"__whole": known, "narrative": live("__narrative"), "synopsis": live("synopsis")})
     df = briefs.gold(df, given="__whole").withColumns({"narrative": F.col("__narrative"), "synopsis": F.col("__synopsis")}).drop("__narrative", "__synopsis", "__whole")
     df = df.withColumn("flags", grounding_flags(Source.named("source"), F.col("gold_text")))
-    messages = F.concat(briefs.prompt(F.col("narrative")), F.array(F.struct(F.lit("assistant").alias("role"), F.col("gold_text").alias("content"))))
-    df = fence(df.withColumn("messages", messages), "flags", "messages")
-    length = F.aggregate("messages", F.lit(0), lambda n, m: n + F.length(m["content"]))
+    df = fence(df, "flags")
+    length = briefs.prompt_length(F.col("narrative")) + F.length("gold_text")
     reason = F.coalesce(
         F.col("drop_reason"),
         F.when(F.col("gold").isNull(), "drop_unsupported_synopsis"),
@@ -79,8 +78,9 @@ def curate(reports: DataFrame, pos: str = "pos", narrative_chars: int = 6000, ma
     })
     df = fence(df.drop(*(c for c in df.columns if c.startswith("source_")), "supported"), "drop_reason", "token_count")
     # behind the last fence, so that they are worked out only for rows that are read, and not at all where nothing asks for them
+    messages = F.concat(briefs.prompt(F.col("narrative")), F.array(F.struct(F.lit("assistant").alias("role"), F.col("gold_text").alias("content"))))
     sha = F.coalesce("__sha", normal_hash(F.col("narrative")))
-    return df.withColumns({"narrative_sha256": sha, "related_ids": related_ids(F.col("related_id"))}).drop("__sha")
+    return df.withColumns({"messages": messages, "narrative_sha256": sha, "related_ids": related_ids(F.col("related_id"))}).drop("__sha")
 
 
 def eligible(curated: DataFrame) -> DataFrame:
